@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, simhash
+from . import embedding_dedup, exact_dedup, html_text, langid, mixing, packing, simhash, token_files, url_filter
+from .common import shared_dir
 
 
 def table(spark, sf_dir: str, name: str):
@@ -21,6 +24,10 @@ def op2_exact_dedup(spark, sf_dir):
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op3_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -31,6 +38,27 @@ def op5_source_mixing(spark, sf_dir):
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "position")
 
 
+def op6_token_counts(spark, sf_dir):
+    return token_files.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_token_files(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_indexed(table(spark, sf_dir, "documents"), folder)
+    rows = token_files.read_indexed(spark, folder)
+    rows = rows.select("doc_id", "part", "block", "before", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    rows = rows.join(token_files.block_starts(spark, folder), ["part", "block"])
+    return rows.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def op8_main_text(spark, sf_dir):
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark, sf_dir):
     rows = packing.pack(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -45,8 +73,13 @@ def pipeline(spark, sf_dir):
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op6_token_counts": op6_token_counts,
+    "op7_token_files": op7_token_files,
+    "op8_main_text": op8_main_text,
+    "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
     "pipeline": pipeline,
 }
