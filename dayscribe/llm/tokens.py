@@ -43,25 +43,33 @@ class _Recent(dict):
 class Encoder:
     """text -> its ids as little-endian unsigned 32-bit integers in bytes; strings of special tokens are ordinary text.
 
-    remembered bounds the entries of each of three lookups, so a worker's memory doesn't grow with its input.
+    remembered bounds the entries of the lookups, so a worker's memory doesn't grow with its input.
     """
 
     def __init__(self, path: str, remembered: int = 300_000, block: int = 1 << 21):
         import re
+        from array import array
 
-        import numpy as np
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
 
         def plain(text: str) -> bytes:
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
         split = re.compile(WORD).findall
         words = _Recent(plain, remembered)
         word = words.__getitem__
-        spaced = _Recent(lambda x: b"".join(map(word, split(" " + x))), remembered).__getitem__
+
+        def chunk(x: str) -> bytes:
+            if x.isalpha():
+                return plain(" " + x)
+            if x[:-1].isalpha() and not x[-1].isalnum():
+                return spaced(x[:-1]) + word(x[-1])
+            return b"".join(map(word, split(" " + x)))
+
+        spaced = _Recent(chunk, 2 * remembered).__getitem__
         first = _Recent(lambda x: b"".join(map(word, split(x))), remembered // 4).__getitem__
         line_feed = plain("\n")
 
