@@ -46,7 +46,7 @@ class Encoder:
     remembered bounds the entries of the lookups, so a worker's memory doesn't grow with its input.
     """
 
-    def __init__(self, path: str, remembered: int = 300_000, block: int = 1 << 21):
+    def __init__(self, path: str, remembered: int = 450_000, block: int = 1 << 21):
         import re
         from array import array
 
