@@ -79,7 +79,7 @@ def write_indexed(docs: DataFrame, folder: str, text: str = "text", id_col: str
         part, block = TaskContext.get().partitionId(), 0
         encode, end = worker_encoder(path), end_id.to_bytes(4, "little")
         kind = {"dict_data": zstandard.ZstdCompressionDict(held.value)} if held.value else {}
-        compress = zstandard.ZstdCompressor(level=3, **kind).compress
+        compress = zstandard.ZstdCompressor(level=1, **kind).compress
         ids, counts, frames = [], [], []
 
         def flush():
@@ -156,8 +156,8 @@ def block_starts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_flat(docs: DataFrame, folder: str, text: str = "text", id_col: str = "doc_id", end_id: int = 50256, block_bytes: int = 1 << 20, path: str | None = None) -> None:
-    """Writes a flat stream of unsigned 16-bit ids a file, in blocks (file, block, data) of block_bytes but for the
-    last, to folder/stream; and beside it folder/names, the documents' ids in order (file, first, doc_ids)."""
+    """Writes a flat stream of unsigned 16-bit ids for each partition of docs, its file, in blocks (file, block, data)
+    of block_bytes but for the last; and between them the documents' ids in the same order (file, first, doc_ids)."""
     small_batches(docs.sparkSession)
     path = path or vocabulary_path()
 
@@ -187,9 +187,8 @@ def write_flat(docs: DataFrame, folder: str, text: str = "text", id_col: str = "
             yield row(block, bytes(held), None, None)
 
     shape = "file long, block long, data binary, first long, doc_ids array<long>"
-    both = staged(_ordered(docs, text, id_col).mapInArrow(run, shape), "flat")
-    both.filter("data is not null").select("file", "block", "data").write.parquet(f"{folder}/stream")
-    both.filter("doc_ids is not null").select("file", "first", "doc_ids").write.parquet(f"{folder}/names")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(text).alias("text"))
+    rows.mapInArrow(run, shape).write.option("compression", "zstd").parquet(folder)
 
 
 def scan_flat(stream: DataFrame, end_id: int = 50256, dtype: str = "<u2") -> DataFrame:
@@ -237,7 +236,8 @@ def token_counts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", en
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/flat-{uuid.uuid4().hex}"
     write_flat(docs, folder, text, id_col, end_id, **how)
-    counted = scan_flat(spark.read.parquet(f"{folder}/stream"), end_id)
-    names = spark.read.parquet(f"{folder}/names").select("file", "first", F.posexplode("doc_ids").alias("k", "doc_id"))
+    files = spark.read.parquet(folder)
+    counted = scan_flat(files.filter("data is not null"), end_id)
+    names = files.filter("doc_ids is not null").select("file", "first", F.posexplode("doc_ids").alias("k", "doc_id"))
     names = names.select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
     return names.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens")
