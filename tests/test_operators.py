@@ -1,0 +1,187 @@
+import json
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from dayscribe.functions import files
+from dayscribe.operators import activity, corpus, guard, preflight, report
+from dayscribe.sources import files as src
+from dayscribe.streaming import guard as stream
+
+from .fixtures import ACTIVITY, GOOD
+
+
+def record(spark, rec):
+    return spark.createDataFrame([(json.dumps([{"repo": r, "commits": c} for r, c in rec]),)], "j string").select(F.from_json("j", activity.ACTIVITY).alias("activity"))
+
+
+def test_low_signal_and_patches(spark):
+    names = ["a/yarn.lock", "dist/x.js", "src/dist", "x.min.css", "LICENSE", "src/a.py", "", None, "b/target/c.rs"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in df.select(files.is_low_signal(F.col("n"))).collect()] == [True, True, False, True, True, False, False, False, True]
+    patch = "\n".join("x" * 400 for _ in range(7))
+    got = spark.range(1).select(files.shown_patch(F.lit("a.py"), F.lit(patch)), files.shown_patch(F.lit("x.lock"), F.lit(patch))).first()
+    assert got[0].split("\n") == ["x" * 300] * 5 + ["…"] and got[1] == ""
+
+
+def test_prompt(spark):
+    row = record(spark, ACTIVITY).select(corpus.build_prompt(F.lit("2026-01-02"), F.lit(3), "me", "activity").alias("p"), activity.total_commits("activity").alias("n")).first()
+    assert row.n == 3
+    assert row.p.startswith("GitHub commits for me, 2026-01-02 (last 3 day(s)):\n**sea/harbor**\n- a1b2c3d: parse tide tables from the coastal feed\n  src/tides.py +12 -3, yarn.lock +900 -1\n  diff src/tides.py:\n    +def parse_tides(feed):\n")
+    assert "- c3: dim beacon" in row.p and row.p.endswith("in the data.")
+    busy = record(spark, [("a", [{"sha": "1", "message": "m", "files": [{"filename": "f.py", "patch": "+x"}]}] * 6)])
+    assert "  diff f.py" not in busy.select(corpus.build_prompt(F.lit("d"), F.lit(1), "me", "activity")).first()[0]
+    none = record(spark, [("a", [])]).select(corpus.has_commits(corpus.build_prompt(F.lit("d"), F.lit(1), "me", "activity"))).first()[0]
+    assert none is False
+
+
+def test_folder_to_rows_and_back(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    names = [f"2026-01-{d:02d}-1d" for d in range(1, 12)]
+    for k, n in enumerate(names):
+        (folder / f"{n}.md").write_text(f"intro\n{GOOD.replace('### harbor', '### me/harbor')}\n```\n" if k != 3 else "nothing here")
+        if k != 4:
+            (folder / f"{n}-commits.json").write_text("{broken" if k == 5 else json.dumps({r: {"commits": c} for r, c in ACTIVITY}))
+    (folder / "notes.md").write_text(GOOD)
+    rows = {r.date: r for r in src.read_digests(spark, str(folder), "me").collect()}
+    assert sorted(rows) == [n[:10] for k, n in enumerate(names) if k not in (3, 4, 5)]
+    assert [d for d, r in sorted(rows.items()) if r.split == "eval"] == ["2026-01-01", "2026-01-10"]
+    one = rows["2026-01-01"]
+    assert "### harbor" in one.completion and not one.completion.endswith("```") and one.completion.startswith("# Developer Journal")
+    assert [x.repo for x in one.activity] == ["sea/harbor", "sea/lantern"]
+    out = str(tmp_path / "out")
+    src.write_jsonl(src.read_digests(spark, str(folder), "me").drop("days"), out)
+    again = src.read_jsonl(spark, out + "/split=eval").collect()
+    assert len(again) == 2 and all(r._corrupt is None and r.activity[0].commits[0].sha == "a1b2c3d4e5" for r in again)
+    src.append(spark.createDataFrame([("x", 1)], "a string, b int"), out + "/more")
+    src.write_chat(src.read_digests(spark, str(folder), "me"), str(tmp_path / "chat"))
+    chat = spark.read.parquet(str(tmp_path / "chat")).first()
+    assert chat.prompt[0].role == "user" and chat.completion[0].content.startswith("# Developer")
+
+
+def test_repeated_keys_and_bad_json(spark):
+    df = spark.createDataFrame([('{"b":{"commits":[{"sha":"1"}]},"a":{},"b":{"commits":[{"sha":"2"},{"sha":"3"}]}}',), ("nope",), (None,)], "j string")
+    rows = df.select(activity.from_json("j").alias("a")).collect()
+    assert [(x.repo, [c.sha for c in x.commits or []]) for x in rows[0].a] == [("b", ["2", "3"]), ("a", [])]
+    assert rows[1].a is None and rows[2].a is None
+
+
+def test_merge_backfill_bundles(spark):
+    both = record(spark, ACTIVITY).withColumn("g", F.lit(1)).withColumn("o", F.lit(2)).unionByName(record(spark, [("new", [{"sha": "z"}]), ("sea/harbor", [{"sha": "a1b2c3d4e5"}])]).withColumn("g", F.lit(1)).withColumn("o", F.lit(1)))
+    got = activity.merge(both, "g", "o").first().activity
+    assert [(r.repo, [c.sha for c in r.commits]) for r in got] == [("new", ["z"]), ("sea/harbor", ["a1b2c3d4e5", "a1b2c3d4e5", "b2"]), ("sea/lantern", ["c3"])]
+    dim = spark.createDataFrame([("sea/lantern", "c3", [(f"f{k}.py", 1, None, "+p") for k in range(7)])], "repo string, sha string, files array<struct<filename:string,additions:bigint,deletions:bigint,patch:string>>")
+    done = activity.backfill(record(spark, ACTIVITY).withColumn("k", F.lit(1)), dim, "k").first().activity
+    assert [len(c.files) for r in done for c in r.commits] == [0, 0, 5] and done[1].commits[0].files[0].deletions == 0
+    picked = activity.bundles(spark.range(40).withColumnRenamed("id", "row"), "row", 6, 3, 5)
+    sizes = {r.bundle: r["count"] for r in picked.groupBy("bundle").count().collect()}
+    assert len(sizes) == 6 and all(3 <= n <= 5 for n in sizes.values()) and picked.distinct().count() == picked.count()
+
+
+def test_split_ranks_every_row(spark):
+    df = spark.createDataFrame([(f"{k:04d}",) for k in range(100)], "name string").repartition(7)
+    got = corpus.split_every(df, "name").filter("split = 'eval'").collect()
+    assert sorted(r.name for r in got) == [f"{k:04d}" for k in range(0, 100, 9)]
+
+
+def test_regenerate_and_lookback(spark):
+    df = record(spark, ACTIVITY).withColumn("prompt", F.lit("GitHub (last 4 day(s))")).withColumn("date", F.lit("d"))
+    assert "(last 4 day(s))" in corpus.regenerate(df, "me").first().prompt
+    assert spark.range(1).select(corpus.lookback(F.lit("none"))).first()[0] == 1
+
+
+TICK = "run string, step long, train_reward double, spotcheck_total double, tokens double, ref_tokens long, truncated_rate double"
+
+
+def histories():
+    up = [0.5, 0.6, 0.7, 0.8]
+    runs = {
+        "diverged": [(t, 0.9 - 0.2 * k, 100.0, 100, 0.0) for k, t in enumerate(up)],
+        "steady": [(t, 0.9, 100.0, 100, 0.0) for t in up],
+        "short": [(0.5, 0.9, 100.0 - 30 * k, 100, 0.0) for k in range(4)],
+        "cut": [(0.5, 0.9, 100.0, 0, 0.3 * k) for k in range(4)],
+        "brief": [(0.5, 0.9, 1.0, 100, 1.0)] * 2,
+        "band": [(0.5, 0.9, 100.0, None, 0.0), (0.5, 0.9, 100.0, None, 0.0), (0.55, 0.8, 100.0, None, 0.0)],
+    }
+    return [(run, k, *t) for run, ts in runs.items() for k, t in enumerate(ts)]
+
+
+def plain_guard(rows, patience=3):
+    out = {}
+    for run in {r[0] for r in rows}:
+        ts = sorted(r for r in rows if r[0] == run)
+        for k in range(patience - 1, len(ts)):
+            w = ts[k - patience + 1 : k + 1]
+            ratios = [t[4] / t[5] for t in w if t[5]]
+            if w[-1][2] - w[0][2] >= 0.05 and w[-1][3] - w[0][3] <= -0.10:
+                why = "diverged"
+            elif ratios and sum(ratios) / len(ratios) < 0.5:
+                why = "collapsed"
+            elif sum(t[6] for t in w) / len(w) > 0.5:
+                why = "truncated"
+            else:
+                continue
+            out[run] = (w[-1][1], why)
+            break
+    return out
+
+
+def test_guard_batch_and_stream(spark, tmp_path):
+    rows = histories()
+    want = plain_guard(rows)
+    assert set(want) >= {"diverged", "short", "cut"} and "steady" not in want and "brief" not in want
+    df = spark.createDataFrame(rows, TICK)
+    assert {r.run: (r.step, r.reason) for r in guard.first_abort(df).collect()} == want
+    for k in range(4):
+        df.filter(F.col("step") == k).coalesce(1).write.parquet(str(tmp_path / "t"), mode="append")
+    ticks = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "t"))
+    q = stream.guarded(ticks).writeStream.format("memory").queryName("guarded").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r.run: (r.step, r.reason) for r in spark.table("guarded").collect()} == want
+
+
+def test_ticks(spark):
+    df = spark.createDataFrame([("r", 1, 0.5, 0.2, 10, 20, True), ("r", 1, 0.5, 0.4, 30, 20, False)], "run string, step long, train_reward double, total double, n_tokens long, ref_tokens long, truncated boolean")
+    t = guard.ticks(df).first()
+    assert (t.spotcheck_total, t.tokens, t.truncated_rate, t.rollouts) == (pytest.approx(0.3), 20.0, 0.5, 2)
+
+
+def test_preflight(spark):
+    assert preflight.longest(8, 9, int(1.5 * 2**30)) - 768 == 1596
+    spike = spark.range(1).select(preflight.spike_bytes(F.lit(3654), 8, 9)).first()[0]
+    assert spike / 2**30 == pytest.approx(3.58, abs=0.005)
+    df = spark.createDataFrame([(n,) for n in (100, 1596, 1597, 50, 60)], "n int")
+    p = preflight.plan(df, "n", 8, 9, 768, int(1.5 * 2**30))
+    assert (p.max_prompt, p.dropped, p.total) == (1596, 1, 5) and p.rows.filter("keep").count() == 4
+    with pytest.raises(ValueError):
+        preflight.plan(df, "n", 8, 9, 5000, int(1.5 * 2**30))
+    with pytest.raises(ValueError):
+        preflight.plan(df.filter("n > 1590"), "n", 8, 9, 768, int(1.5 * 2**30))
+    assert preflight.plan(df.filter("n < 0"), "n", 8, 9, 768, int(1.5 * 2**30)).total == 0
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([(0, "d", 0.5, True), (0, "d", 0.7, False), (1, "e", 0.9, False)], "idx int, date string, total double, truncated boolean")
+    g = {r.idx: r for r in report.rollout_groups(df).collect()}
+    assert g[0].std == pytest.approx(math.sqrt(0.02)) and g[1].std == 0.0 and g[0].truncated == 1
+    s = report.rollout_summary(report.rollout_groups(df)).first()
+    assert s.mean_total == pytest.approx(0.7) and s.flat == 1 and s.truncation == pytest.approx(1 / 3)
+    c = report.calibration(df, "date").orderBy("date").collect()
+    assert [(r.n, r.below_floor) for r in c] == [(2, 2), (1, 0)]
+    assert [r.total for r in report.worst(df).collect()] == [0.5, 0.7]
+    assert report.first_n_mean(df, "total", 2).first()[0] == pytest.approx(0.6)
+    md = report.ladder_markdown(report.ladder(df.withColumn("model", F.col("date")))).first()[0].split("\n")
+    assert len(md) == 4 and md[2].startswith("| e | `" + "█" * 22 + "░" * 2)
+    assert df.agg(report.rank_quantile("total")).first()[0] == 0.7
+    r = df.select(report.training_reward(F.col("total"), F.lit(10), 10)).first()[0]
+    assert r == 0.25
+
+
+def test_eval_logs(spark, tmp_path):
+    (tmp_path / "a.log").write_text('=== sample 1 (truncated=True, len=5)\n{"total": 0.0}\n=== sample 2 (truncated=False, len=7)\n{"total": 0.5}\nMEAN_REWARD 0.25\n')
+    (tmp_path / "b.log").write_text("still running")
+    rows = src.read_eval_logs(spark, str(tmp_path)).orderBy("name").collect()
+    assert tuple(rows[0])[1:] == (0.25, 2, 1, 1) and rows[1].mean is None
