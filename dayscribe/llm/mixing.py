@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from .common import clean_text, fresh, staged
 
 #: Hash order is cut into so many buckets a source; places are exact at their edges and linear within.
-BITS = 12
+BITS = 10
+#: The plan, a row a source and bucket, is broadcast up to this many rows (about 20 MB), and joined by shuffle beyond.
+BROADCAST_ROWS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -73,7 +75,8 @@ def plan(narrow: DataFrame, weights=(5, 2, 1), repeats: float = 3.0, schedule=((
     placed = placed.join(edge, ["none", "source"], "left").join(last, ["none", "source"], "left")
     start = F.element_at(F.array(*[F.lit(float(a)) for a, _ in schedule]), (F.col("rank") % len(schedule) + 1).cast("int"))
     end = F.element_at(F.array(*[F.lit(float(b)) for _, b in schedule]), (F.col("rank") % len(schedule) + 1).cast("int"))
-    return staged(placed.withColumn("start", start).withColumn("end", end).drop("rank", "weight"), "mix")
+    planned = staged(placed.withColumn("start", start).withColumn("end", end).drop("rank", "weight"), "mix")
+    return F.broadcast(planned) if planned.count() <= BROADCAST_ROWS else planned
 
 
 def _narrow(docs: DataFrame, text: str, source: str, id_col: str) -> list[Column]:
