@@ -205,13 +205,11 @@ def predictor(spark, model: Model):
         import sys
         import types
 
-        kept = sys.modules.setdefault("_dayscribe_worker", types.ModuleType("_dayscribe_worker")).__dict__
-        key = ("langid", own)
-        if key not in kept:
-            for old in [k for k in kept if isinstance(k, tuple) and k[0] == "langid"]:
-                del kept[old]
-            kept[key] = Parser(held.value)
-        parse = kept[key]
+        kept = sys.modules.setdefault("_dayscribe_worker", types.ModuleType("_dayscribe_worker"))
+        if getattr(kept, "key", None) != own:
+            kept.value, kept.key = None, own
+            kept.value = Parser(held.value)
+        parse = kept.value
         for texts in batches:
             rows = [r for some in _chunks([t or "" for t in texts]) for r in parse(some)]
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])

@@ -43,7 +43,7 @@ class _Recent(dict):
 class Encoder:
     """text -> its ids as little-endian unsigned 32-bit integers in bytes; strings of special tokens are ordinary text.
 
-    remembered bounds the entries of the lookups, so a worker's memory doesn't grow with its input.
+    remembered bounds the entries of the lookups (five times as many in all), so a worker's memory doesn't grow with its input.
     """
 
     def __init__(self, path: str, remembered: int = 450_000, block: int = 1 << 21):
@@ -59,7 +59,7 @@ class Encoder:
             return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
         split = re.compile(WORD).findall
-        words = _Recent(plain, remembered)
+        words = _Recent(plain, remembered // 4)
         word = words.__getitem__
 
         def chunk(x: str) -> bytes:
@@ -70,7 +70,7 @@ class Encoder:
             return b"".join(map(word, split(" " + x)))
 
         spaced = _Recent(chunk, 2 * remembered).__getitem__
-        first = _Recent(lambda x: b"".join(map(word, split(x))), remembered // 4).__getitem__
+        first = _Recent(lambda x: b"".join(map(word, split(x))), remembered // 8).__getitem__
         line_feed = plain("\n")
 
         def lines(text: str) -> bytes:
@@ -107,7 +107,8 @@ def worker_encoder(path: str) -> Encoder:
     import sys
     import types
 
-    kept = sys.modules.setdefault("_dayscribe_worker", types.ModuleType("_dayscribe_worker")).__dict__
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    kept = sys.modules.setdefault("_dayscribe_worker", types.ModuleType("_dayscribe_worker"))
+    if getattr(kept, "key", None) != path:
+        kept.value, kept.key = None, path  # one thing at a time: what served another operator goes
+        kept.value = Encoder(path)
+    return kept.value
