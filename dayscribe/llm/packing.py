@@ -86,12 +86,12 @@ def _left(pieces, part: int):
     return _batch(rows, part, True)
 
 
-def _packed(path: str, end_id: int, length: int, windows: int):
+def _packed(path: str, end_id: int, length: int, windows: int, remembered: int):
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode, end = worker_encoder(path), end_id.to_bytes(4, "little")
+        encode, end = worker_encoder(path, remembered), end_id.to_bytes(4, "little")
         packer = Packer(length, windows, part << 32)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -148,7 +148,7 @@ def _merged(length: int, level: int, last: bool):
     return run
 
 
-def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 1024, end_id: int = 0, windows: int = WINDOWS, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 1024, end_id: int = 0, windows: int = WINDOWS, path: str | None = None, remembered: int = 1_000_000) -> DataFrame:
     """Pieces of the documents in sequences of length tokens: doc_id, start, length, doc_tokens, sequence_id,
     offset, ids (little-endian unsigned 32-bit integers).
 
@@ -158,7 +158,7 @@ def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: in
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(text).alias("text"))
-    packed = staged(rows.mapInArrow(_packed(path or vocabulary_path(), end_id, length, windows), PIECES), "packed")
+    packed = staged(rows.mapInArrow(_packed(path or vocabulary_path(), end_id, length, windows, remembered), PIECES), "packed")
     done, left = [packed.filter(~F.col("open"))], packed.filter("open")
     parts = (left.agg(F.max("part")).first()[0] or 0) + 1
     level = 1

@@ -104,13 +104,13 @@ class Encoder:
         return out[0] if len(out) == 1 else b"".join(out)
 
 
-def worker_encoder(path: str) -> Encoder:
+def worker_encoder(path: str, remembered: int = 1_000_000) -> Encoder:
     """The worker process's own Encoder: what it remembers serves all tasks that the process runs."""
     import sys
     import types
 
     kept = sys.modules.setdefault("_dayscribe_worker", types.ModuleType("_dayscribe_worker"))
-    if getattr(kept, "key", None) != path:
-        kept.value, kept.key = None, path  # one thing at a time: what served another operator goes
-        kept.value = Encoder(path)
+    if getattr(kept, "key", None) != (path, remembered):
+        kept.value, kept.key = None, (path, remembered)  # one thing at a time: what served another operator goes
+        kept.value = Encoder(path, remembered)
     return kept.value
