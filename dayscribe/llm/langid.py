@@ -93,14 +93,16 @@ def _symbols(texts: list[str], table):
     return s[keep], np.bincount(owner[keep], minlength=len(texts))
 
 
-def sample(labelled: DataFrame, text: str, lang: str, chars: int = SAMPLE, excerpt: int = EXCERPT) -> list[tuple[str, str]]:
-    """A bounded sample of (lang, text): about 2 * chars characters a language, of excerpt a document at most, in hash order."""
-    own = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
+def sample(labelled: DataFrame, text: str, lang: str, id_col: str, chars: int = SAMPLE, excerpt: int = EXCERPT) -> list[tuple[str, str]]:
+    """A bounded sample of (lang, text): about 2 * chars characters a language, of excerpt a document at most, in hash order.
+
+    Rows are drawn by id and text, so copies of one text are drawn apart, and equal excerpts come once."""
+    own = labelled.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
     held = own.select("lang", F.least(F.length("text"), F.lit(excerpt)).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     share = F.least(F.lit(1.0), F.lit(2.0 * chars) / F.col("n"))
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(5), "text"), 11) / float(1 << 53)
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(5), "id", "text"), 11) / float(1 << 53)
     drawn = own.join(F.broadcast(held), "lang").filter(place <= share)
-    rows = drawn.select("lang", F.substring("text", 1, excerpt).alias("text"), place.alias("place")).collect()
+    rows = drawn.groupBy("lang", F.substring("text", 1, excerpt).alias("text")).agg(F.min(place).alias("place")).collect()
     return [(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.place, r.text))]
 
 
@@ -220,7 +222,7 @@ def predictor(spark, model: Model):
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", folds: int = 5, **bounds) -> Model:
     """A model of the labelled documents outside the held-out fold (crc32 of the id as text, mod folds, is 0)."""
     held = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0
-    rows = sample(docs.filter(~held), text, lang, **bounds)
+    rows = sample(docs.filter(~held), text, lang, id_col, **bounds)
     return fit(rows, bounds.get("chars", SAMPLE))
 
 
