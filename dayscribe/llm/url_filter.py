@@ -41,7 +41,7 @@ def rule(host: Column, path: Column, rules=RULES) -> Column:
     """struct(rule, verdict) of the longest rule whose host is the url's or a parent of it and whose path starts the
     url's; null if none fits. Of equal rules the first counts. The rules are a short list; each is one test."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for verdict, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
