@@ -20,6 +20,14 @@ LEAD = 16
 SLACK = 1e-9
 
 
+def _unit(x):
+    """Rows scaled to length 1, by their largest component first: squares of large or tiny ones leave double precision."""
+    import numpy as np
+
+    x /= np.abs(x).max(1)[:, None]
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
 def _moments(batches):
     import numpy as np
     import pyarrow as pa
@@ -28,7 +36,7 @@ def _moments(batches):
     for batch in batches:
         if batch.num_rows:
             x = np.array(batch.column(0).to_pylist(), float)
-            x /= np.sqrt((x * x).sum(1))[:, None]
+            x = _unit(x)
             total, n = x.T @ x + (0 if total is None else total), n + len(x)
     if total is not None:
         rows = pa.array(total.tolist(), pa.list_(pa.float64()))
@@ -58,7 +66,7 @@ def _tiles(basis, reach: float, grid: int):
             if not batch.num_rows:
                 continue
             x = np.array(batch.column("embedding").to_pylist(), float)
-            x /= np.sqrt((x * x).sum(1))[:, None]
+            x = _unit(x)
             cells = np.floor((x @ basis[:, :grid]) / reach).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.tolist(), pa.list_(pa.int32()))], [*batch.schema.names, "cell"])
 
@@ -75,7 +83,7 @@ def _compare(basis, threshold: float, lead: int):
         side = table.column("side").to_numpy()
         ids, weight = table.column("rep").to_numpy(), table.column("weight").to_numpy()
         x = np.array(table.column("embedding").to_pylist(), float)
-        x /= np.sqrt((x * x).sum(1))[:, None]
+        x = _unit(x)
         turned = x @ basis
         k = min(lead, x.shape[1])
         rest = np.sqrt(np.maximum(0.0, (turned[:, k:] ** 2).sum(1)))
