@@ -64,19 +64,33 @@ def has_commits(prompt: str | Column) -> Column:
     return F.element_at(F.split(T.col(prompt), "\n\n"), 1).contains("- ")
 
 
-def split_every(df: DataFrame, order: str, every: int = 9) -> DataFrame:
+def cumulated(df: DataFrame, order: str, weight: Column | None = None, buckets: int = 64, per_bucket: int = 100) -> DataFrame:
+    """Adds _before: the sum of weight (1 a row if not given) of all rows earlier in order; nulls come first.
+
+    Rows are dealt into buckets between bounds taken from a sample of about per_bucket values for each; only the
+    buckets' sums go into one task. The bounds are fixed once, so a row's bucket is the same however often, and
+    in however many partitions, the plan runs. Rows of equal order share a bucket and are ranked in any order."""
+    n = df.count()
+    drawn = df.select(order).filter(F.col(order).isNotNull()).sample(min(1.0, buckets * per_bucket / max(n, 1)), seed=1)
+    values = sorted(r[0] for r in drawn.collect())
+    bounds = sorted({values[len(values) * k // buckets] for k in range(1, buckets)}) if values else []
+    kind = f"array<{dict(df.dtypes)[order]}>"
+    listed = F.array(*[F.lit(x) for x in bounds]).cast(kind)
+    bucket = F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(listed, lambda x: x <= F.col(order))))
+    dealt = df.withColumn("_b", bucket).withColumn("_w", F.lit(1) if weight is None else weight)
+    within = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_b").agg(F.sum("_w").alias("_n"))
+    base = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = dealt.withColumn("_l", F.coalesce(F.sum("_w").over(within), F.lit(0)))
+    out = local.join(F.broadcast(sums.select("_b", base.alias("_base"))), "_b")
+    return out.withColumn("_before", F.col("_base") + F.col("_l")).drop("_b", "_w", "_l", "_base")
+
+
+def split_every(df: DataFrame, order: str, every: int = 9, **how) -> DataFrame:
     """Adds split: eval for every k-th row in order, from the first, else train. Ranks count all rows of df, so call it
-    before unusable rows go.
-
-    Ranks come from a range sort and the sizes of its partitions, so no task sees all rows."""
-    dealt = df.repartitionByRange(order).sortWithinPartitions(order).select("*", F.spark_partition_id().alias("_p"))
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(order))
-    ranked = dealt.withColumn("_k", local)
-    sizes = ranked.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ranked.join(F.broadcast(sizes.select("_p", before.alias("_before"))), "_p")
-    at = F.col("_before") + F.col("_k") - 1
-    return ranked.withColumn("split", F.when(at % every == 0, "eval").otherwise("train")).drop("_p", "_k", "_before")
+    before unusable rows go."""
+    ranked = cumulated(df, order, **how)
+    return ranked.withColumn("split", F.when(F.col("_before") % every == 0, "eval").otherwise("train")).drop("_before")
 
 
 def lookback(prompt: str | Column) -> Column:

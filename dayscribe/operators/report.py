@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bar
+from .corpus import cumulated
 
 
 def calibration(scores: DataFrame, by: str = "split", value: str = "total", floor: float = 0.85) -> DataFrame:
@@ -26,15 +27,21 @@ def mutation_report(deltas: DataFrame) -> DataFrame:
     )
 
 
-def rank_quantile(value: str | Column, share: float = 0.99) -> Column:
-    """The value at place floor(share * (n - 1)) of the sorted values; an aggregate for values that fit a row."""
-    held = F.sort_array(F.collect_list(value))
-    return F.element_at(held, (F.floor(F.lit(share) * (F.size(held) - 1)) + 1).cast("int"))
+def rank_quantile(scores: DataFrame, value: str = "total", share: float = 0.99) -> DataFrame:
+    """One row: the value at place floor(share * (n - 1)) of the sorted values; none of no values, nulls left out.
+
+    Equal values are counted before they are put in order, so neither they nor all others meet in one task."""
+    counts = scores.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    n = counts.agg(F.sum("c")).first()[0] or 0
+    at = int(share * (n - 1)) if n else 0
+    before = cumulated(counts, "v", F.col("c"))
+    return before.filter((F.col("_before") <= at) & (F.col("_before") + F.col("c") > at)).select(F.col("v").alias("quantile"))
 
 
 def ceiling_check(scores: DataFrame, value: str = "total", ceiling: float = 0.55) -> DataFrame:
-    """p99, highest and number over the ceiling."""
-    return scores.agg(rank_quantile(value).alias("p99"), F.max(value).alias("highest"), F.count_if(F.col(value) > F.lit(float(ceiling))).alias("over"))
+    """p99, highest and number over the ceiling: a row, with nulls and 0 of no values."""
+    over = F.count_if(F.col(value) > F.lit(float(ceiling))).alias("over")
+    return rank_quantile(scores, value).agg(F.max("quantile").alias("p99")).crossJoin(scores.agg(F.max(value).alias("highest"), over))
 
 
 def rollout_groups(rollouts: DataFrame, keys=("idx", "date"), total: str = "total", truncated: str = "truncated") -> DataFrame:

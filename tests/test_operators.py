@@ -163,6 +163,18 @@ def test_preflight(spark):
     assert preflight.plan(df.filter("n < 0"), "n", 8, 9, 768, int(1.5 * 2**30)).total == 0
 
 
+def test_split_counts_all_rows_in_order(spark):
+    """Whatever the partitions, the other columns and the buckets; ties and nulls count."""
+    names = [None] + [f"n{k % 700:04d}" for k in range(1000)]
+    df = spark.createDataFrame([(n, "x" * (k % 50)) for k, n in enumerate(names)], "name string, more string").repartition(7)
+    for buckets in (1, 5, 64):
+        got = corpus.split_every(df, "name", 9, buckets=buckets, per_bucket=10)
+        assert got.columns == ["name", "more", "split"] and got.count() == 1001
+        evals = sorted((r.name or "" for r in got.filter("split = 'eval'").collect()))
+        assert evals == sorted(n or "" for n in names)[::9]
+    assert corpus.split_every(df.limit(0), "name").count() == 0
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(0, "d", 0.5, True), (0, "d", 0.7, False), (1, "e", 0.9, False)], "idx int, date string, total double, truncated boolean")
     g = {r.idx: r for r in report.rollout_groups(df).collect()}
@@ -175,7 +187,8 @@ def test_reports(spark):
     assert report.first_n_mean(df, "total", 2).first()[0] == pytest.approx(0.6)
     md = report.ladder_markdown(report.ladder(df.withColumn("model", F.col("date")))).first()[0].split("\n")
     assert len(md) == 4 and md[2].startswith("| e | `" + "█" * 22 + "░" * 2)
-    assert df.agg(report.rank_quantile("total")).first()[0] == 0.7
+    assert report.rank_quantile(df).first()[0] == 0.7 and report.rank_quantile(df.limit(0)).count() == 0
+    assert tuple(report.ceiling_check(df).first()) == (0.7, 0.9, 2)
     r = df.select(report.training_reward(F.col("total"), F.lit(10), 10)).first()[0]
     assert r == 0.25
 
