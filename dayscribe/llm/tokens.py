@@ -1,7 +1,8 @@
 """Encoding of whole texts with a public byte-level BPE vocabulary.
 
 Byte-level BPE never merges across pre-tokens, so a text's ids are the ids of its pre-tokens in a row.
-Pre-tokens repeat: a worker encodes each one once, by the tokenizers library, and looks it up afterwards.
+Pre-tokens repeat: a worker encodes each one once, by the BPE model of the tokenizers library, and looks it up
+afterwards.
 Texts with characters on whose class Unicode versions may differ go to the library as a whole.
 """
 
@@ -25,6 +26,17 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE writes each byte: itself where it is printable Latin-1, else the next from U+0100 on."""
+    table, more = {}, 0x100
+    for b in range(256):
+        if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD:
+            table[b] = chr(b)
+        else:
+            table[b], more = chr(more), more + 1
+    return table
+
+
 class _Recent(dict):
     """A lookup that keeps the entries used since the last but one time it was full."""
 
@@ -61,10 +73,16 @@ class Encoder:
         def plain(text: str) -> bytes:
             return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+        merge, letters = tokenizer.model.tokenize, _byte_letters()
+
+        def token(x: str) -> bytes:
+            """What stands for one pre-token: straight from the library's BPE model, which finds nothing left to split."""
+            return array("I", [t.id for t in merge(x.encode().decode("latin-1").translate(letters))]).tobytes()
+
         split = re.compile(WORD).findall
-        words = _Recent(plain, remembered // 8)
+        words = _Recent(token, remembered // 8)
         word = words.__getitem__
-        line_feed = plain("\n")
+        line_feed = token("\n")
 
         def piece(x: str) -> bytes:
             """What stands for: a word with the space before it, a mark set apart, or a line feed with the word after it."""
@@ -72,7 +90,7 @@ class Encoder:
                 return word(x[1:])
             if x[:1] == "\n":
                 return line_feed + b"".join(map(word, split(x[1:])))
-            return plain(" " + x) if x.isalpha() else b"".join(map(word, split(" " + x)))
+            return token(" " + x) if x.isalpha() else b"".join(map(word, split(" " + x)))
 
         pieces = _Recent(piece, remembered).__getitem__
         apart = re.compile(rf"[.,](?<=[{LETTERS}][.,])(?=[ \n]|\Z)").sub
