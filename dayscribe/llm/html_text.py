@@ -28,11 +28,16 @@ BOILERPLATE = frozenset(
     "footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login social share sharing related "
     "recommended comment comments disqus reply replies respond pagination pager toolbar masthead skip complementary contentinfo".split()
 )
+#: Words that name an article element as a reader's comment.
+REMARK = frozenset("comment reply".split())
+REMARKS = frozenset("comments comment replies respond disqus related recommended".split())
 #: A start tag of the first kind ends an open element of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp"))
 #: Pages that a node must be aligned on before it can count as template, and how many of the host's it must share.
 LEAST_PAGES, SHARE = 5, 0.9
+#: Levels of blocks that are aligned; text below counts to the last of them.
+DEPTH = 200
 
 
 class Node:
@@ -46,7 +51,10 @@ def parse(html: str) -> Node:
     """The tree of a page's elements and texts, whatever the markup; character references decoded."""
     import html as refs
     import re
+    import sys
 
+    # Trees are walked by recursion, and a broken page may nest as deep as it is long; Python's frames aren't on the C stack.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 2 * html.count("<") + 10_000))
     token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
     name = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
     root = Node("#")
@@ -104,15 +112,17 @@ def parse(html: str) -> Node:
     return root
 
 
-def _dropped(node: Node, inside: str | None) -> bool:
-    return node.tag in HIDDEN or bool(node.words & BOILERPLATE) and node.tag not in ("html", "body", "article", "main")
+def _dropped(node: Node) -> bool:
+    if node.tag == "article":
+        return bool(node.words & REMARK)
+    return node.tag in HIDDEN or bool(node.words & BOILERPLATE) and node.tag not in ("html", "body", "main")
 
 
 # A tree for alignment is [signature, hash of its own text, pages aligned on, constant, children].
 
 
-def skeleton(node: Node) -> list:
-    """Tree of a page's block elements; siblings of one signature in a row are one repeated node."""
+def skeleton(node: Node, depth: int = 0) -> list:
+    """Tree of a page's block elements down to DEPTH; siblings of one signature in a row are one repeated node."""
     import zlib
 
     children, own = [], []
@@ -122,9 +132,9 @@ def skeleton(node: Node) -> list:
             if isinstance(p, str):
                 if words := " ".join(p.split()):
                     own.append(words)
-            elif p.tag in BLOCK:
+            elif p.tag in BLOCK and depth < DEPTH:
                 if p.tag not in HIDDEN or p.tag not in ("head", "script", "style"):
-                    children.append(skeleton(p))
+                    children.append(skeleton(p, depth + 1))
             elif p.tag not in HIDDEN:
                 fold(p)
 
@@ -214,15 +224,18 @@ def extract(html: str | None, template: frozenset = frozenset()) -> str:
     root = parse(html)
     regions = []
 
-    def find(node):
+    def find(node, dropped):
         for p in node.parts:
-            if not isinstance(p, str) and not _dropped(p, None):
+            if not isinstance(p, str) and not dropped(p):
                 if p.tag in ("article", "main"):
                     regions.append(p)
                 else:
-                    find(p)
+                    find(p, dropped)
 
-    find(root)
+    find(root, _dropped)
+    if not regions:
+        # A wrapper may name what stands beside the article in it, as class="with-sidebar" does.
+        find(root, lambda p: p.tag in HIDDEN or p.words & REMARKS or p.tag == "article" and p.words & REMARK)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -240,7 +253,7 @@ def extract(html: str | None, template: frozenset = frozenset()) -> str:
                 run.append(" ")
             elif p.tag in VOID and p.tag not in BLOCK:
                 continue
-            elif _dropped(p, None) or p.tag == "header" and not bounded:
+            elif _dropped(p) or p.tag == "header" and not bounded:
                 if p.tag in BLOCK:
                     flush()
             elif p.tag in BLOCK:

@@ -354,6 +354,8 @@ def test_main_text(spark):
     rows = [(k, "http://h.example/" + str(k), shell % (k, k, art)) for k in range(3)]
     rows += [(10 + k, "http://Plain.example/x", plain % (k, k)) for k in range(8)]
     rows += [(30, None, None), (31, "http://h.example/e", ""), (32, "x", "<p>un<b>closed"), (33, "y", "a < b & c"), (34, "z", "<article>" + "<p>w</p>" * 3000 + "</article>"), (34, "z", "<!-- x"), (35, "q", "<div><div><p>x")]
+    rows += [(36, "q", "<div>" * 20_000 + "deep" + "<b><i>" * 20_000 + " down"), (37, "r", "<div class='with-sidebar'><article>in</article><article class='comment'>no</article></div>")]
+    rows += [(38, "r", "<main><p>told</p><ol id=comments><li><article>no</article></ol></main>")]
     df = spark.createDataFrame(rows, PAGES).withColumn("host", F.lit("mine")).repartition(3)
     out = defaultdict(list)
     for r in html_text.main_text(df).collect():
@@ -362,6 +364,7 @@ def test_main_text(spark):
     want = "Head & more\n\nOne two three four\n\nBold in text\n\na\n\nb\n\nlast"
     assert all(out[k] == [want] for k in range(3))
     assert all(out[10 + k] == [f"story {k} begins\n\nand ends {k}"] for k in range(8))
+    assert out[36] == ["deep down"] and out[37] == ["in"] and out[38] == ["told"]
     assert out[30] == out[31] == [""] and out[32] == ["unclosed"] and out[33] == ["a < b & c"] and sorted(out[34]) == ["", "\n\n".join(["w"] * 3000)]
     again = {r.page_id: r.text for r in html_text.main_text(df, broadcast_bytes=0).filter("page_id < 20").collect()}
     assert all(again[k] == out[k][0] for k in again)
