@@ -278,9 +278,15 @@ def vectors():
     rows = [(k, (base[k % 6] + r.normal(size=12) * (0.02 if k % 3 else 0.5)).tolist(), k % 2) for k in range(120)]
     rows += [(200 + k, base[0].tolist(), 0) for k in range(30)] + [(300, (base[0] * 7).tolist(), 0), (301, base[0].tolist(), None), (302, None, 0)]
     rows += [(303, [0.0] * 12, 0), (304, [float("nan")] + [1.0] * 11, 0), (305, [None] + [1.0] * 11, 0), (306, [float("inf")] * 12, 0), (307, [], 0), (308, [1.0, 0.0], 0), (309, [2.0, 0.0], 0)]
+    rows += [(310 + k, (base[0] * x).tolist(), 0) for k, x in enumerate((1e200, 1e-200, -1e250))]
     return rows
 
 
+def cosine(v, w):
+    v, w = np.array(v) / np.abs(v).max(), np.array(w) / np.abs(w).max()
+    return np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)
+
+
 @pytest.mark.parametrize("tile,grid", [(7, 1), (1024, 2)])
 def test_embedding_dedup(spark, tile, grid):
     rows = vectors()
@@ -289,7 +295,7 @@ def test_embedding_dedup(spark, tile, grid):
     for i, (_, v, g) in enumerate(rows):
         for j in range(i):
             w, h = rows[j][1], rows[j][2]
-            if ok[i] and ok[j] and g == h and len(v) == len(w) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98:
+            if ok[i] and ok[j] and g == h and len(v) == len(w) and cosine(v, w) >= 0.98:
                 pairs.append((i, j))
     n = Counter(x for p in pairs for x in p)
     root = roots(len(rows), pairs)
@@ -314,6 +320,15 @@ def test_language_id(spark):
     assert langid.identify(empty(spark)).count() == 0 and langid.identify(spark.createDataFrame([(1, "a b", None, None, 0)], DOC)).first().lang_pred == "und"
 
 
+def test_language_sample_is_bounded(spark):
+    """One text may make up most rows: its copies neither fill the sample nor keep other texts out of it."""
+    copies = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("same words again " * 20).alias("text"), F.lit("en").alias("lang"))
+    others = spark.range(3000, 4500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    rows = langid.sample(copies.unionByName(others), "text", "lang", "doc_id", chars=60_000, excerpt=200)
+    assert [t for _, t in rows].count(("same words again " * 20)[:200]) == 1
+    assert 50 < len(rows) and sum(len(t) for _, t in rows) < 240_000
+
+
 def test_cross_parsing_counts_longest_matches():
     text = "the harbor and the lantern were lit by dawn while the pilots slept in the harbor "
     model = langid.fit([("en", text)], chars=1000)
