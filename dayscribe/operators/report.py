@@ -41,7 +41,8 @@ def rank_quantile(scores: DataFrame, value: str = "total", share: float = 0.99)
 def ceiling_check(scores: DataFrame, value: str = "total", ceiling: float = 0.55) -> DataFrame:
     """p99, highest and number over the ceiling: a row, with nulls and 0 of no values."""
     over = F.count_if(F.col(value) > F.lit(float(ceiling))).alias("over")
-    return rank_quantile(scores, value).agg(F.max("quantile").alias("p99")).crossJoin(scores.agg(F.max(value).alias("highest"), over))
+    rows = scores.agg(F.max(value).alias("highest"), over).unionByName(rank_quantile(scores, value).select(F.col("quantile").alias("p99")), allowMissingColumns=True)
+    return rows.agg(F.max("p99").alias("p99"), F.max("highest").alias("highest"), F.max("over").alias("over"))
 
 
 def rollout_groups(rollouts: DataFrame, keys=("idx", "date"), total: str = "total", truncated: str = "truncated") -> DataFrame:
