@@ -120,26 +120,20 @@ def _merged(length: int, level: int, last: bool):
             packer.add(*p[2:])
         left = packer.merge()
         if last:
-            # The only window left over is cut at powers of two, which need no padding.
+            # The only window left over is cut at powers of two, which need no padding, from its front.
             held = sum(len(p[2]) // 4 for p in left)
             while held:
-                size = 1 << held.bit_length() - 1
-                cut = Packer(size, 1, packer.next)
-                for p in left:
-                    cut.add(*p)
-                    if cut.out:
-                        break
-                rows = cut.take()
-                packer.out += [r for r in rows if r[4] == packer.next]
-                done = sum(r[2] for r in packer.out if r[4] == packer.next)
-                packer.next += 1
-                left, skip, rest = left, done, []
+                need = 1 << held.bit_length() - 1
+                own, rest, held = [], [], held - need
                 for d, s, ids, n in left:
-                    k = min(skip, len(ids) // 4)
-                    skip -= k
+                    k = min(need, len(ids) // 4)
+                    need -= k
+                    if k:
+                        own.append((d, s, ids[: 4 * k], n))
                     if k < len(ids) // 4:
                         rest.append((d, s + k, ids[4 * k :], n))
-                left, held = rest, held - done
+                packer._emit(own)
+                left = rest
         if rows := packer.take():
             yield _batch(rows, group, False)
         if left:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,25 @@ def test_packing(docs, encoded, length, windows, parts):
             assert sorted(ids) == sorted(want * 2)
 
 
+@pytest.mark.parametrize("sizes", [[3, 10], [100, 600], [1, 2, 3, 4, 900], [5], [512, 1], [1, 512]])
+def test_packing_last_window(sizes):
+    """Pieces of the one window left in the end: each id once, in windows of powers of two without a gap."""
+    ids = [np.arange(1000 * k, 1000 * k + n, dtype="<u4").tobytes() for k, n in enumerate(sizes)]
+    left = packing._left([(k, 7, x, 7 + n) for k, (x, n) in enumerate(zip(ids, sizes))], 0)
+    left = left.append_column("group", pa.array([0] * left.num_rows, pa.int64()))
+    rows = [r for b in packing._merged(1024, 1, True)([left]) for r in b.to_pylist()]
+    windows = defaultdict(list)
+    for r in rows:
+        assert not r["open"] and r["length"] == len(r["ids"]) // 4 > 0
+        windows[r["sequence_id"]].append((r["offset"], r["length"]))
+    held = [sum(n for _, n in own) for own in windows.values()]
+    assert held == [1 << k for k in range(10, -1, -1) if sum(sizes) >> k & 1]
+    assert all(sorted(own)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:])) for own in windows.values())
+    for k, x in enumerate(ids):
+        own = sorted((r for r in rows if r["doc_id"] == k), key=lambda r: r["start"])
+        assert b"".join(r["ids"] for r in own) == x and [r["start"] for r in own] == [7 + sum(o["length"] for o in own[:i]) for i in range(len(own))]
+
+
 def test_packing_nothing(spark):
     assert packing.pack(empty(spark)).count() == 0
 
