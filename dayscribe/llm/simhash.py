@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, components, small_batches, staged
+from .common import clean_text, components, fresh, small_batches, staged
 
 #: Rows of a cell that one task compares; larger cells are dealt into pairs of blocks of about this many.
 BLOCK = 4096
@@ -51,8 +51,9 @@ def fingerprint(text: str | None, words: int = 4, block: int = 1 << 22) -> int:
     return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 4) -> DataFrame:
-    """(doc_id, fp): fp as a signed long with the fingerprint's bits. Null text counts as empty."""
+def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 4, row: str | None = None) -> DataFrame:
+    """(doc_id, fp): fp as a signed long with the fingerprint's bits. Null text counts as empty. With row, the name
+    of a column that numbers the rows, also row and h, a hash of the text."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -61,10 +62,10 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wo
         for batch in batches:
             fps = [fingerprint(x.as_py(), words) for x in batch.column(1)]
             signed = pa.array([x - (x >> 63 << 64) for x in fps], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed, *batch.columns[2:]], ["doc_id", "fp", "row", "h"][: batch.num_columns])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(text).alias("text"), *([F.col(row).alias("row"), F.xxhash64(clean_text(text)).alias("h")] if row else []))
+    return rows.mapInArrow(run, "doc_id long, fp long" + (", row long, h long" if row else ""))
 
 
 def n_groups(rows: int, distance: int, per_cell: int = 64) -> int:
@@ -215,18 +216,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     distance differing bits). Texts without words have fingerprint zero and link like any other. A null id is
     returned as it is and never is a component_id while the component has another. An empty table gives none."""
     fps = staged(fingerprints(docs, text, id_col, words), "fingerprints")
-    distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    return _resolved(fps, F.min("doc_id"), "component_id", distance).select("doc_id", "fp", "component_id")
+
+
+def _resolved(fps: DataFrame, least: Column, name: str, distance: int) -> DataFrame:
+    """fps, read several times, with the aggregate least of all rows reachable over links in column name."""
+    distinct = staged(fps.groupBy("fp").agg(least.alias("least")), "distinct")
     found = components(links(distinct, distance))
     roots = distinct.join(found.withColumnRenamed("node", "fp"), "fp")
     lowest = roots.groupBy("component").agg(F.min("least").alias("lowest"))
     moved = staged(roots.join(lowest, "component").select("fp", "lowest"), "roots")
-    of = distinct.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = distinct.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "least").alias(name))
+    return fps.join(of, "fp")
 
 
 def dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 4, distance: int = 4) -> DataFrame:
-    """docs with one document of each component, that of the smallest id; columns unchanged. Rows that share an
-    id are decided together."""
-    gone = near_duplicates(docs, text, id_col, words, distance).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = staged(gone.select("doc_id").distinct(), "near-duplicates")
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["doc_id"]), "left_anti")
+    """docs with one document of each component, that of the smallest id (a null one only if there is no other);
+    columns unchanged. Each row is decided on its own, whatever rows share its id; of different texts with the
+    smallest id one stays. Only repeats of that row, equal in id and text, stay with it."""
+    (key,) = fresh(docs, "row")
+    rows = staged(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    fps = staged(fingerprints(rows, text, id_col, words, key), "fingerprints")
+    found = _resolved(fps, F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h", "row")), "first", distance)
+    stays = (F.col("row") == F.col("first.row")) | (F.col("doc_id") == F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    gone = staged(found.filter(~F.coalesce(stays, F.lit(False))).select(F.col("row").alias(key)), "near-duplicates")
+    return rows.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

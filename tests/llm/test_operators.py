@@ -146,6 +146,24 @@ def test_near_duplicates(spark, docs, clashing):
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.dedup(empty(spark)).count() == 0
 
 
+def test_near_dedup_decides_by_row(spark):
+    """Null and repeated ids: what isn't a near copy stays, one row of each component does."""
+    base, other, third = (prose(k, 400) for k in (7, 8, 9))
+    near = lambda t, k: t.replace("tide", f"tide{k}", 1)
+    rows = [(1, base), (None, near(base, 1)), (None, prose(1, 50)), (None, prose(2, 50))]  # a near copy without an id, and others
+    rows += [(5, prose(3, 50)), (5, near(base, 2)), (6, near(base, 3))]  # two texts of one id
+    rows += [(None, other), (None, near(other, 4)), (8, third), (8, near(third, 5)), (8, near(third, 6))]  # ties
+    fps = [plain_fingerprint(t) for _, t in rows]
+    a = np.array(fps, np.uint64)
+    group = roots(len(a), [(i, int(j)) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a ^ a[i]) <= 4) if j > i])
+    assert len(set(group)) == 6
+    df = spark.createDataFrame([(d, t, "mine") for d, t in rows], "doc_id long, text string, row string").repartition(3)
+    kept = simhash.dedup(df).collect()
+    of = {t: g for (_, t), g in zip(rows, group)}
+    assert sorted(of[r.text] for r in kept) == sorted(set(group))
+    assert Counter(r.doc_id for r in kept) == {None: 3, 1: 1, 5: 1, 8: 1} and {r.text for r in kept if r.doc_id in (1, 5)} == {base, prose(3, 50)}
+
+
 def plain_targets(sizes, weights=(5, 2, 1), most=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
