@@ -22,17 +22,22 @@ BLOCK = frozenset(
 )
 #: Elements whose text is never content.
 HIDDEN = frozenset("script style noscript template head title iframe object svg canvas button select textarea input form nav footer aside menu dialog".split())
-#: Words in class, id or role that name a region as something other than content.
+#: Class, id or role tokens that name a region as something other than content; whole ones, as related-work and with-sidebar don't.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar widget "
     "footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login social share sharing related "
     "recommended comment comments disqus reply replies respond pagination pager toolbar masthead skip complementary contentinfo".split()
 )
-#: Words that name an article element as a reader's comment.
+#: Tokens that name an article element as a reader's comment.
 REMARK = frozenset("comment reply".split())
 REMARKS = frozenset("comments comment replies respond disqus related recommended".split())
+#: Tokens of regions that are left out however much of the page they hold; others may name the wrapper of an article.
+NEVER = REMARKS | frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+#: Sections are anchors as headings are: an id names one only if it is one of these.
+ANCHORED = frozenset("comments respond disqus".split())
 #: A start tag of the first kind ends an open element of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp"))
 #: Pages that a node must be aligned on before it can count as template, and how many of the host's it must share.
 LEAST_PAGES, SHARE = 5, 0.9
@@ -41,10 +46,10 @@ DEPTH = 200
 
 
 class Node:
-    __slots__ = ("tag", "words", "parts")
+    __slots__ = ("tag", "words", "names", "parts", "weight")
 
-    def __init__(self, tag: str, words=frozenset()):
-        self.tag, self.words, self.parts = tag, words, []
+    def __init__(self, tag: str, words=frozenset(), names=frozenset()):
+        self.tag, self.words, self.names, self.parts, self.weight = tag, words, names, [], None
 
 
 def parse(html: str) -> Node:
@@ -56,7 +61,7 @@ def parse(html: str) -> Node:
     # Trees are walked by recursion, and a broken page may nest as deep as it is long; Python's frames aren't on the C stack.
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 2 * html.count("<") + 10_000))
     token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-    name = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+    name = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
     root = Node("#")
     stack, at, n = [root], 0, len(html)
 
@@ -94,11 +99,13 @@ def parse(html: str) -> Node:
                 elif stack[k].tag in BLOCK and not (ended and stack[k].tag in ("tr", "td", "th", "li", "dd", "dt")):
                     break
         rest = m[3] if m[2] else m[6]
-        words = frozenset()
+        words = names = frozenset()
         if rest and "=" in rest:
-            found = " ".join(a or b or c for a, b, c in name.findall(rest))
+            said = [(k.lower(), a or b or c) for k, a, b, c in name.findall(rest)]
+            found = " ".join(v for _, v in said)
+            names = frozenset(t for k, v in said for t in v.lower().split() if k != "id" or tag not in HEADINGS and (tag != "section" or t in ANCHORED))
             words = frozenset(re.findall(r"[a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", found).lower()))
-        node = Node(tag, words)
+        node = Node(tag, words, names)
         stack[-1].parts.append(node)
         if tag in VOID or rest.endswith("/") and tag not in BLOCK:
             continue
@@ -112,10 +119,22 @@ def parse(html: str) -> Node:
     return root
 
 
-def _dropped(node: Node) -> bool:
+def _weight(node: Node) -> int:
+    """Characters of a node's text that may be an article's: not in links or in regions that never are."""
+    if node.weight is None:
+        node.weight = sum(
+            len("".join(p.split())) if isinstance(p, str) else 0 if p.tag in HIDDEN or p.tag == "a" or p.names & NEVER else _weight(p) for p in node.parts
+        )
+    return node.weight
+
+
+def _dropped(node: Node, region: Node) -> bool:
     if node.tag == "article":
-        return bool(node.words & REMARK)
-    return node.tag in HIDDEN or bool(node.words & BOILERPLATE) and node.tag not in ("html", "body", "main")
+        return bool(node.names & REMARK)
+    if node.tag in HIDDEN or node.tag in ("html", "body", "main") or not node.names & BOILERPLATE:
+        return node.tag in HIDDEN
+    # What holds most of its region's text wraps the article, whatever its name.
+    return bool(node.names & NEVER) or 2 * _weight(node) <= _weight(region)
 
 
 # A tree for alignment is [signature, hash of its own text, pages aligned on, constant, children].
@@ -232,10 +251,10 @@ def extract(html: str | None, template: frozenset = frozenset()) -> str:
                 else:
                     find(p, dropped)
 
-    find(root, _dropped)
+    find(root, lambda p: _dropped(p, root))
     if not regions:
-        # A wrapper may name what stands beside the article in it, as class="with-sidebar" does.
-        find(root, lambda p: p.tag in HIDDEN or p.words & REMARKS or p.tag == "article" and p.words & REMARK)
+        # A wrapper may name what stands beside the article in it, as class="sidebar" does.
+        find(root, lambda p: p.tag in HIDDEN or p.names & REMARKS or p.tag == "article" and p.names & REMARK)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -245,7 +264,8 @@ def extract(html: str | None, template: frozenset = frozenset()) -> str:
         if text:
             blocks.append(text)
 
-    def walk(node, path, bounded):
+    def walk(node, path, region):
+        bounded = region is not root
         for p in node.parts:
             if isinstance(p, str):
                 run.append(p)
@@ -253,26 +273,26 @@ def extract(html: str | None, template: frozenset = frozenset()) -> str:
                 run.append(" ")
             elif p.tag in VOID and p.tag not in BLOCK:
                 continue
-            elif _dropped(p) or p.tag == "header" and not bounded:
+            elif _dropped(p, region) or p.tag == "header" and not bounded:
                 if p.tag in BLOCK:
                     flush()
             elif p.tag in BLOCK:
                 flush()
                 own = f"{path}/{p.tag}" + "".join(f".{w}" for w in sorted(p.words))[:80]
                 n = len(blocks)
-                walk(p, own, bounded)
+                walk(p, own, region)
                 flush()
                 if not bounded and len(blocks) == n + 1 and (own, zlib.crc32(blocks[-1].encode("utf-8", "surrogatepass"))) in template:
                     blocks.pop()
             else:
-                walk(p, path, bounded)
+                walk(p, path, region)
 
     if regions:
         for r in regions:
-            walk(r, "", True)
+            walk(r, "", r)
             flush()
     else:
-        walk(root, "/#", False)
+        walk(root, "/#", root)
         flush()
     return "\n\n".join(blocks)
 

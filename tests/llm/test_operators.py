@@ -424,6 +424,19 @@ def test_main_text(spark):
     assert html_text.main_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+@pytest.mark.parametrize("html,text", [
+    ('<article><p>a</p><section id="related-work"><p>b</p></section></article>', "a\n\nb"), ('<main><div class="layout with-sidebar">article text</div></main>', "article text"),
+    ('<body><div class="layout with-sidebar">article text</div></body>', "article text"), ('<article><h2 id="notice">Notice</h2><p>a</p></article>', "Notice\n\na"),
+    ('<main><div class="sidebar">most of the text<div class="share">no</div></div><p>x</p></main>', "most of the text\n\nx"), ("<div class=widget><p>all of it</p></div>", "all of it"),
+    ('<article>a<p data-role="menu">b</p><p class="social-history">c</p></article>', "a\n\nb\n\nc"), ("<div class='widget'><article>the long one</article></div><article>short</article>", "the long one\n\nshort"),
+    ('<article>short<div class="ad">a long advertisement</div><section id="comments">a long remark</section></article>', "short"),
+    ('<body><div class="menu"><a href=x>one long link</a><a href=y>another</a></div><p>a text</p></body>', "a text"), ('<main><p>some text</p><div class="share box">no</div><div role=alert>no</div></main>', "some text"),
+])
+def test_named_regions(html, text):
+    """Whole tokens name a region; a wrapper of most of the text isn't one."""
+    assert html_text.extract(html) == text
+
+
 def test_tree_matching():
     t = lambda s, *c: [s, 0, 1, True, list(c)]
     assert html_text.match(t("a", t("b"), t("c")), t("a", t("c"), t("b"), t("c")))[0] == 3
