@@ -41,13 +41,23 @@ def deserialized(data: bytes) -> bytes:
     return np.frombuffer(data, "<u2", offset=1).astype("<u4").tobytes() if data[:1] == b"\x02" else data[1:]
 
 
-def train(docs: DataFrame, text: str, path: str, end_id: int) -> bytes:
-    """A zstandard dictionary from the table's first rows, as many as SAMPLE; the samples themselves where they are too few."""
+def _drawn(docs: DataFrame, text: str, id_col: str) -> list[str]:
+    """Excerpts of the SAMPLE rows of the smallest hashes in the whole table, so each part of it has its share.
+
+    The place of a row is hashed too: repeated rows don't fall together. Only rows under a bound that about 1.5 times
+    as many fall under are sorted."""
+    body, bound = clean_text(text), min(1.0, 1.5 * SAMPLE / max(docs.count(), 1))
+    rows = docs.select(F.xxhash64(F.lit(3), id_col, body, F.monotonically_increasing_id()).alias("h"), body.alias("t"))
+    some = rows.filter(F.shiftrightunsigned("h", 11) / float(1 << 53) <= bound).select("h", F.substring("t", 1, EXCERPT).alias("t"))
+    return [r.t for r in some.orderBy("h", "t").limit(SAMPLE).collect()]
+
+
+def train(docs: DataFrame, text: str, path: str, end_id: int, id_col: str = "doc_id") -> bytes:
+    """A zstandard dictionary from a bounded sample of the whole table; the samples themselves where they are too few."""
     import zstandard
 
-    drawn = docs.select(F.substring(clean_text(text), 1, EXCERPT).alias("t")).limit(SAMPLE)
     encode, end = worker_encoder(path), end_id.to_bytes(4, "little")
-    samples = [serialized(encode(r.t) + end) for r in drawn.collect()]
+    samples = [serialized(encode(t) + end) for t in _drawn(docs, text, id_col)]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:
@@ -63,7 +73,7 @@ def write_indexed(docs: DataFrame, folder: str, text: str = "text", id_col: str
     spark = docs.sparkSession
     small_batches(spark)
     path = path or vocabulary_path()
-    raw = train(docs, text, path, end_id)
+    raw = train(docs, text, path, end_id, id_col)
     mark = hashlib.sha256(raw).hexdigest()
     spark.createDataFrame([(mark, bytearray(raw))], "hash string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
     held, size, most = spark.sparkContext.broadcast(raw), BLOCK_DOCS, BLOCK_IDS

@@ -297,6 +297,22 @@ def test_token_files(spark, docs, encoded, tmp_path):
     assert token_files.deserialized(token_files.serialized(np.array([1, 70000], "<u4").tobytes())) == np.array([1, 70000], "<u4").tobytes()
 
 
+def test_dictionary_samples_the_whole_table(spark, monkeypatch, tmp_path):
+    """Sorted by source, with a hot row: each source's share of the table is about its share of the sample."""
+    import zstandard
+
+    seen = []
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples: seen.extend(samples) or zstandard.ZstdCompressionDict(b"x" * 64))
+    end = np.array([2], "<u4").tobytes()
+    of = {w: token_files.serialized(tokens.worker_encoder(tokens.vocabulary_path())(w) + end) for w in ("harbor", "lantern", "beacon")}
+    df = spark.range(14000).select(
+        F.when(F.col("id") < 2000, -1).otherwise(F.col("id")).alias("key"), F.expr("case when id < 2000 then 'beacon' when id < 8000 then 'harbor' else 'lantern' end").alias("body")
+    )
+    token_files.write_indexed(df, str(tmp_path / "t"), "body", "key")
+    n = {w: seen.count(x) for w, x in of.items()}
+    assert len(seen) == token_files.SAMPLE == sum(n.values()) and 150 < n["beacon"] < 450 and min(n["harbor"], n["lantern"]) > 700
+
+
 @pytest.mark.parametrize("block_bytes", [6, 64, 1 << 20])
 def test_token_counts(spark, docs, encoded, block_bytes):
     got = Counter((r.doc_id, r.n_tokens) for r in token_files.token_counts(docs, block_bytes=block_bytes).collect())
