@@ -176,7 +176,8 @@ def probability(urls: list, model: Model):
 def judge(pages: DataFrame, url: str = "url", id_col: str = "page_id", rules=RULES, labelled: list[tuple[str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
     """One row for each row of pages: page_id, host, path, rule (null if none fits), verdict (allow or block), p_block.
 
-    A null url has empty host and path and is allowed. An empty table gives none."""
+    A null url has empty host and path and is allowed. A url without :// has them too, and the trees' verdict. An
+    empty table gives none."""
     small_batches(pages.sparkSession, 10_000)
     held = pages.sparkSession.sparkContext.broadcast(fit(seed_urls() if labelled is None else labelled))
 
@@ -187,6 +188,6 @@ def judge(pages: DataFrame, url: str = "url", id_col: str = "page_id", rules=RUL
             yield pd.Series(probability(urls.tolist(), model), dtype="float64")
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), host(url).alias("host"), path(url).alias("path"))
-    rows = rows.withColumn("found", rule(F.col("host"), F.col("path"), rules)).withColumn("p_block", F.when(F.col("host") != "", p_block("url")).otherwise(0.0))
+    rows = rows.withColumn("found", rule(F.col("host"), F.col("path"), rules)).withColumn("p_block", F.when(F.col("url").isNotNull(), p_block("url")).otherwise(0.0))
     own = F.when(F.col("p_block") >= threshold, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", own).alias("verdict"), "p_block")

@@ -476,3 +476,11 @@ def test_url_filter(spark):
     held, model = url_filter.seed_urls(1000, seed=99), url_filter.fit(seeds)
     right = (url_filter.probability([u for u, _ in held], model) >= 0.5) == np.array([b for _, b in held])
     assert right.mean() > 0.9
+
+
+def test_url_filter_without_a_host(spark):
+    urls = ["casino-poker.example.com/x", "museum.example.org/en/7", "", "http:///x", None]
+    rows = url_filter.judge(spark.createDataFrame([(k, u, None) for k, u in enumerate(urls)], PAGES)).orderBy("page_id").collect()
+    want = url_filter.probability(urls[:-1], url_filter.fit(url_filter.seed_urls())).tolist()
+    assert [r.p_block for r in rows] == pytest.approx([*want, 0.0]) and all(r.host == "" and r.rule is None for r in rows)
+    assert [r.verdict for r in rows] == ["block", "allow", "allow", "allow", "allow"]
