@@ -453,10 +453,87 @@ def test_named_regions(html, text):
     assert html_text.extract(html) == text
 
 
+def tree(r, labels, depth=3, most=4):
+    return html_text._tree(r.choice(labels), [tree(r, labels, depth - 1, most) for _ in range(r.randint(0, most))] if depth else [])
+
+
+def plain_match(a, b):
+    """Simple tree matching by its definition: the best over all order-keeping pairings of children."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max(best(x[1:], y), best(x, y[1:]), best(x[1:], y[1:]) + plain_match(x[0], y[0]))
+
+    return 1 + best(a[1], b[1])
+
+
 def test_tree_matching():
-    t = lambda s, *c: [s, 0, 1, True, list(c)]
-    assert html_text.match(t("a", t("b"), t("c")), t("a", t("c"), t("b"), t("c")))[0] == 3
-    assert html_text.match(t("a"), t("b"))[0] == 0
+    import random
+
+    r = random.Random(8)
+    for _ in range(300):
+        a, b = (html_text._tree("r", [tree(r, "abc", 2, 3) for _ in range(r.randint(0, 4))]) for _ in "ab")
+        n, _ = html_text.match(a, b)
+        assert n == plain_match(a, b)
+        to = html_text.aligned(a, b)
+        parent, label, again = html_text.unflat(html_text.flat(a))
+        others, names, _ = html_text.unflat(html_text.flat(b))
+        assert again == a and sum(x >= 0 for x in to) == n
+        found = [x for x in to if x >= 0]
+        assert found == sorted(set(found)) and all(label[k] == names[x] for k, x in enumerate(to) if x >= 0)
+        assert all(to[parent[k]] == others[x] for k, x in enumerate(to) if x > 0)
+        both = html_text.merge(a, b)
+        # Nodes of both trees are kept: each still matches whole.
+        assert both[2] == a[2] + b[2] - n and html_text.match(a, both)[0] == a[2] and html_text.match(b, both)[0] == b[2]
+    assert html_text.match(tree(r, "a"), tree(r, "b")) == (0, [])
+
+
+def host_pages():
+    """Pages of one host in unnamed containers, of two layouts, in which menu, advert and imprint vary too; and a page of another kind."""
+    words = lambda k, n: prose(k, n)
+    rows = []
+    for k in range(40):
+        extra = f"<div>{words(900 + k, 4)}</div>" if k % 3 == 0 else ""
+        teaser = "<p>Written for the harbor by its pilots</p>"
+        rows.append((k, f"http://h.example/{k}", f"<html><body><div><a href=x>{words(100 + k, 30)}</a></div>{extra}<div><p>{words(200 + k, 40)}</p>{teaser}<p>{words(300 + k, 60)}</p></div><div>{words(400 + k, 3)}</div><div>All rights reserved by the harbor and its many pilots</div></body></html>"))
+    rows.append((50, "http://h.example/odd", "<html><body><section><p>a notice to all pilots of the coast</p></section></body></html>"))
+    want = {k: f"{words(200 + k, 40)}\n\n{words(300 + k, 60)}" for k in range(40)} | {50: "a notice to all pilots of the coast"}
+    return rows, want
+
+
+@pytest.mark.parametrize("names", [True, False])
+def test_wrapper_decides_without_names(spark, names):
+    """Nothing here is named: mass, variation and constancy over the host's pages alone find the story."""
+    rows, want = host_pages()
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, PAGES), names=names).collect()}
+    assert got == want
+    alone = {k: html_text.extract(h) for k, _, h in rows}
+    assert sum(alone[k] == want[k] for k in want) <= 1  # no page by itself
+
+
+def test_wrapper_keeps_order_free(spark):
+    """Any order and partitions of the pages, also of few, give the same wrapper and texts; one odd page first or last as well."""
+    rows, _ = host_pages()
+    odd = (60, "http://h.example/z", "<html><body><nav><div class=x>only here</div></nav><div><div>deep</div></div></body></html>")
+    seen = set()
+    for order, parts in ((rows + [odd], 1), ([odd] + rows[::-1], 7), (rows[20:] + [odd] + rows[:20], 3)):
+        df = spark.createDataFrame(order, PAGES).repartition(parts)
+        found = [(r.host, r.tree, r.pages, str(r.stats)) for r in html_text.wrappers(df).collect()]
+        texts = sorted((r.page_id, r.text) for r in html_text.main_text(df).collect())
+        seen.add((str(found), str(texts)))
+    assert len(seen) == 1
+
+
+def test_copies_are_no_template(spark):
+    """Copies and near copies of one article on a host keep its text; what stands around them goes."""
+    story = [prose(k, 50) for k in range(4)]
+    page = "<body><div>Site name</div><article>%s</article><div>%s</div></body>"
+    rows = [(k, f"http://c.example/{k}", page % ("".join(f"<p>{x}</p>" for x in story[:3]) + f"<p>{story[3]} {k % 7}</p>", prose(50 + k, 5))) for k in range(20)]
+    got = html_text.main_text(spark.createDataFrame(rows, PAGES)).collect()
+    assert all(r.text == "\n\n".join([*story[:3], f"{story[3]} {r.page_id % 7}"]) for r in got)
 
 
 def test_url_filter(spark):
