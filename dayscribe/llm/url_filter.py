@@ -1,4 +1,8 @@
-"""URL filters: rules by host and path, and gradient-boosted trees on lexical features for what no rule decides."""
+"""URL filters: rules by host and path, and gradient-boosted trees on lexical features for what no rule decides.
+
+The trees are trained on labelled URLs, a table of the caller's. Where none is given, the URLs of the table itself
+that a rule decides are the labelled ones, their verdicts the labels: nothing about URLs is written down here.
+"""
 
 from __future__ import annotations
 
@@ -9,24 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import staged
 
 RULES = (
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
 )
-#: Words that labelled URLs of unwanted and of wanted sites are made of.
-UNWANTED = (
-    "ads ad track tracker tracking click clicks popup banner casino casinos poker slots jackpot bet bets betting gamble win winner prize lottery free cheap "
-    "discount deal deals pills pharma pharmacy viagra meds drugs replica rolex loan loans payday credit cash money earn crypto profit spam seo backlinks farm "
-    "adult xxx sex porn cam cams dating escort hot nude x warez crack keygen torrent proxy phish malware virus scam clickbait"
-).split()
-WANTED = (
-    "news blog www m docs wiki library museum school university college science nature history garden kitchen recipes travel weather sport music film books "
-    "journal review city council health hospital clinic bank post mail forum help support shop store market design art photo studio house home family law "
-    "energy water earth code data cloud open project research institute academy press times daily herald tribune observer en de fr es it go river forest mountain"
-).split()
-
-
 def host(url: str | Column) -> Column:
     """What follows the first :// up to /, ? or #, A-Z lower-cased; empty if null or without ://."""
     found = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
@@ -47,103 +38,94 @@ def rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def seed_urls(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
-    """Labelled URLs (url, 1 for unwanted), made from the word lists and from invented words; the same every time."""
-    import random
-
-    r = random.Random(seed)
-    parts = ["ba", "ko", "ri", "ten", "lu", "mar", "th", "er", "on", "sel", "ti", "or", "an", "de", "ve", "no", "in", "st", "ou", "al"]
-    plain = lambda: "".join(r.choice(parts) for _ in range(r.randint(1, 4)))
-    out = []
-    for k in range(n):
-        bad = k % 2
-        if bad:
-            words = [r.choice(UNWANTED) for _ in range(r.randint(1, 2))] + [plain()] * (r.random() < 0.3)
-            r.shuffle(words)
-        else:
-            words = [r.choice(WANTED) if r.random() < 0.4 else plain() for _ in range(r.choice([1, 1, 1, 2]))]
-        name = ("-" if bad and r.random() < 0.8 or r.random() < 0.3 else "").join(words) + (str(r.randint(1, 999)) if r.random() < (0.3 if bad else 0.05) else "")
-        sub = r.choice(["", "", "www.", "m.", "blog."])
-        tail = r.choice(["example", plain(), plain()]) + "." + r.choice(["com", "net", "org"])
-        where = r.choice(["en", "de", "fr", "es", plain()]) + "/" + str(r.randint(1, 999)) + r.choice(["", "/", ".html"])
-        query = r.choice(["", "", "#top", "?utm_source=feed", "?page=2&ref=x", f"?id={r.randint(1, 10**6)}"])
-        out.append((f"{r.choice(['http', 'https'])}://{sub}{name}.{tail}/{where}{query}", bad))
-    return out
+#: Bound of the labelled sample that the trees are fitted on: URLs, each counted once, of the smallest hashes.
+SAMPLE = 20_000
+FEATURES = (
+    "length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "host_digit_ratio", "entropy", "host_entropy", "parameters", "query_length",
+    "domain", "second_domain", "extension",
+)
+
+
+def parts(url: Column) -> Column:
+    """struct of what the features of a url are made of: all after the first ://, its host, path and query, and its
+    suffixes: the last label of the host, the last two, and the path's extension. A url without :// counts as path."""
+    rest = F.regexp_replace(url, r"(?s)^.*?://", "")
+    name = host(url)
+    route = F.when(url.contains("://"), path(url)).otherwise(F.regexp_extract(url, r"(?s)^[^?#]*", 0))
+    return F.struct(
+        rest.alias("rest"), name.alias("host"), route.alias("path"), F.regexp_extract(rest, r"(?s)\?([^#]*)", 1).alias("query"), F.substring_index(name, ".", -1).alias("domain"),
+        F.substring_index(name, ".", -2).alias("second"), F.lower(F.regexp_extract(route, r"(?s)\.([^./]*)$", 1)).alias("extension"),
+    )
 
 
 @dataclass
 class Model:
-    """Gradient-boosted trees of depth 3 with the statistics of host words and suffixes that features need."""
+    """Gradient-boosted trees, and the log odds of the suffixes seen in training: for domains, two-label domains, extensions."""
 
-    words: dict = field(default_factory=dict)
-    suffixes: dict = field(default_factory=dict)
+    odds: tuple = ({}, {}, {})
     base: float = 0.0
     trees: list = field(default_factory=list)
 
 
-def _split(url: str):
-    import re
-
-    rest = url.split("://", 1)[-1]
-    name = re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
-    return rest, name, [w for w in re.split(r"[^a-z]+", name) if w]
-
-
-def features(url: str | None, model: Model) -> list[float]:
-    import math
-    from collections import Counter
+def _counts(texts):
+    """Of each text: its bytes, and how often each byte is in it."""
+    import numpy as np
 
-    rest, name, words = _split(url or "")
-    n = len(rest) or 1
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(rest).values())
-    odds = [model.words.get(w, 0.0) for w in words] or [0.0]
-    suffix = ".".join(name.split(".")[-2:])
-    return [
-        len(rest), len(name), name.count("."), rest.split("?")[0].count("/"), sum(c.isdigit() for c in rest) / n, sum(c.isdigit() for c in name),
-        name.count("-"), entropy, rest.count("&") + ("?" in rest), max(odds), min(odds), sum(odds), model.suffixes.get(suffix, 0.0), len(words),
-    ]
+    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    sizes = np.fromiter(map(len, data), np.int64, len(data))
+    at = np.repeat(np.arange(len(data)) * 256, sizes) + np.frombuffer(b"".join(data), np.uint8)
+    return sizes, np.bincount(at, minlength=256 * len(data)).reshape(-1, 256)
 
 
-def fit(labelled: list[tuple[str, int]], rounds: int = 60, rate: float = 0.2, depth: int = 3, bins: int = 32) -> Model:
-    """Logistic boosting on histograms. labelled is a bounded list: training is on the driver."""
-    import math
-    from collections import defaultdict
+def features(rows: pd.DataFrame, model: Model):
+    """FEATURES of rows of parts(), a row of numbers each; many rows at once."""
+    import numpy as np
 
+    def spread(n, seen):
+        share = seen / np.maximum(n, 1)[:, None]
+        return -(share * np.log2(np.where(seen > 0, share, 1))).sum(1)
+
+    digits = slice(ord("0"), ord("9") + 1)
+    n, seen = _counts(rows["rest"])
+    m, name = _counts(rows["host"])
+    p, route = _counts(rows["path"])
+    q, query = _counts(rows["query"])
+    odds = [rows[c].map(known).fillna(0.0).to_numpy(float) for c, known in zip(("domain", "second", "extension"), model.odds)]
+    return np.column_stack([
+        n, m, p, name[:, ord(".")], route[:, ord("/")], seen[:, digits].sum(1) / np.maximum(n, 1), name[:, digits].sum(1) / np.maximum(m, 1), spread(n, seen), spread(m, name),
+        query[:, ord("&")] + (q > 0), q, *odds,
+    ]).astype(float)
+
+
+def fit(rows: pd.DataFrame, rounds: int = 60, rate: float = 0.2, depth: int = 3, bins: int = 32, least: int = 20) -> Model:
+    """Logistic boosting on histograms. rows: those of parts() and label (1 for block), a bounded sample: training is
+    on the driver. Without rows, and with labels of one kind, the model says what the labels say; allow without any."""
     import numpy as np
 
-    model = Model()
-    if not labelled:
+    model = Model(base=-10.0)
+    if not len(rows):
         return model
-    y = np.array([b for _, b in labelled], float)
-    for kept, keys in ((model.words, lambda u: set(_split(u)[2])), (model.suffixes, lambda u: {".".join(_split(u)[1].split(".")[-2:])})):
-        seen = defaultdict(lambda: [0.5, 0.5])
-        for u, b in labelled:
-            for k in keys(u):
-                seen[k][b] += 1
-        kept.update({k: math.log(b / a) for k, (a, b) in seen.items() if a + b >= 3})
-    x = np.array([features(u, model) for u, _ in labelled])
+    y = rows["label"].to_numpy(float)
+    seen = []
+    for c in ("domain", "second", "extension"):
+        each = pd.DataFrame({"k": rows[c], "y": y}).groupby("k")["y"].agg(["sum", "count"])
+        each = each[each["count"] >= 3]
+        seen.append(dict(zip(each.index, np.log((each["sum"] + 0.5) / (each["count"] - each["sum"] + 0.5)))))
+    model.odds = tuple(seen)
+    x = features(rows, model)
     mean = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    model.base = math.log(mean / (1 - mean))
+    model.base = float(np.log(mean / (1 - mean)))
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
     at = np.stack([np.searchsorted(q, c, side="left") for q, c in zip(cuts, x.T)])  # value <= cut goes left
     total = np.full(len(y), model.base)
 
     def grow(own, g, h, left):
-        value = -rate * g[own].sum() / (h[own].sum() + 1.0)
-        best = (1e-6, None)
-        if left and len(own) >= 20:
-            for k, q in enumerate(cuts):
-                a = np.bincount(at[k, own], g[own], len(q) + 1).cumsum()[:-1]
-                b = np.bincount(at[k, own], h[own], len(q) + 1).cumsum()[:-1]
-                if len(a):
-                    gg, hh = g[own].sum(), h[own].sum()
-                    gain = a * a / (b + 1) + (gg - a) ** 2 / (hh - b + 1) - gg * gg / (hh + 1)
-                    if gain.max() > best[0]:
-                        best = (gain.max(), (k, int(gain.argmax())))
-        if best[1] is None:
+        best = split(own, g, h, at, cuts, least) if left else None
+        if best is None:
+            value = float(-rate * g[own].sum() / (h[own].sum() + 1.0))
             total[own] += value
-            return float(value)
-        k, cut = best[1]
+            return value
+        k, cut = best
         go = at[k, own] <= cut
         return (k, float(cuts[k][cut]), grow(own[go], g, h, left - 1), grow(own[~go], g, h, left - 1))
 
@@ -153,12 +135,29 @@ def fit(labelled: list[tuple[str, int]], rounds: int = 60, rate: float = 0.2, de
     return model
 
 
-def probability(urls: list, model: Model):
-    """Probability that each url is unwanted."""
+def split(own, g, h, at, cuts, least: int):
+    """(feature, cut) of the largest gain for rows own, at least so many on each side; None if there is no gain."""
+    import numpy as np
+
+    best, gain = None, 1e-6
+    gg, hh = g[own].sum(), h[own].sum()
+    for k, q in enumerate(cuts):
+        if not len(q):
+            continue
+        a, b, n = (np.bincount(at[k, own], w, len(q) + 1).cumsum()[:-1] for w in (g[own], h[own], None))
+        now = a * a / (b + 1) + (gg - a) ** 2 / (hh - b + 1) - gg * gg / (hh + 1)
+        now[(n < least) | (len(own) - n < least)] = 0
+        if now.max() > gain:
+            best, gain = (k, int(now.argmax())), now.max()
+    return best
+
+
+def probability(rows: pd.DataFrame, model: Model):
+    """Probability of each row of parts() that it is to be blocked."""
     import numpy as np
 
-    x = np.array([features(u, model) for u in urls]).reshape(len(urls), -1)
-    total = np.full(len(urls), model.base)
+    x = features(rows, model)
+    total = np.full(len(x), model.base)
 
     def down(tree, own):
         if not isinstance(tree, tuple):
@@ -169,25 +168,45 @@ def probability(urls: list, model: Model):
             down(tree[3], own[~go])
 
     for t in model.trees:
-        down(t, np.arange(len(urls)))
+        down(t, np.arange(len(x)))
     return 1 / (1 + np.exp(-total))
 
 
-def judge(pages: DataFrame, url: str = "url", id_col: str = "page_id", rules=RULES, labelled: list[tuple[str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
-    """One row for each row of pages: page_id, host, path, rule (null if none fits), verdict (allow or block), p_block.
+def ruled(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
+    """(url, label) of the urls that a rule decides: 1 for block."""
+    found = rule(host(url), path(url), rules)["verdict"]
+    return pages.select(F.col(url).alias("url"), F.when(found.isNotNull(), (found == "block").cast("int")).alias("label")).filter("label is not null")
+
+
+def learn(labelled: DataFrame, sample: int = SAMPLE, **how) -> Model:
+    """Trees from labelled (url, label), label 1 for block. Each url and label counts once however often it is there;
+    of more than sample those of the smallest hashes are taken, so every part of the table has its share."""
+    each = staged(labelled.filter("url is not null and label is not null").select("url", F.col("label").cast("int").alias("label")).distinct(), "labelled")
+    bound = min(1.0, 1.5 * sample / max(each.count(), 1))
+    drawn = each.withColumn("h", F.xxhash64(F.lit(9), "url", "label")).filter(F.shiftrightunsigned("h", 11) / float(1 << 53) <= bound)
+    rows = drawn.orderBy("h", "url", "label").limit(sample).select(parts(F.col("url")).alias("x"), "label").select("x.*", "label")
+    return fit(pd.DataFrame([r.asDict() for r in rows.collect()], columns=rows.columns), **how)
+
+
+def judge(pages: DataFrame, url: str = "url", id_col: str = "page_id", rules=RULES, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """One row for each row of pages: page_id, host, path, rule (null if none fits), verdict (allow or block), p_block
+    (null where a rule decides).
 
-    A null url has empty host and path and is allowed. A url without :// has them too, and the trees' verdict. An
-    empty table gives none."""
-    small_batches(pages.sparkSession, 10_000)
-    held = pages.sparkSession.sparkContext.broadcast(fit(seed_urls() if labelled is None else labelled))
+    The trees judge urls without a rule; they are trained on labelled (url, label), or on pages' own urls that a rule
+    decides. A null url has empty host and path and is allowed; a url without :// has them too, and the trees'
+    verdict. Without labels all is allowed. An empty table gives none."""
+    held = pages.sparkSession.sparkContext.broadcast(learn(ruled(pages, url, rules) if labelled is None else labelled))
 
     @F.pandas_udf("double")
-    def p_block(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = held.value
-        for urls in batches:
-            yield pd.Series(probability(urls.tolist(), model), dtype="float64")
+    def p_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for rows in batches:
+            out, own = pd.Series(0.0, index=rows.index), rows["rest"].notna()
+            out[own] = probability(rows[own], held.value)
+            yield out
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), host(url).alias("host"), path(url).alias("path"))
-    rows = rows.withColumn("found", rule(F.col("host"), F.col("path"), rules)).withColumn("p_block", F.when(F.col("url").isNotNull(), p_block("url")).otherwise(0.0))
+    rows = rows.withColumn("found", rule(F.col("host"), F.col("path"), rules))
+    asked = F.col("found").isNull() & F.col("url").isNotNull()
+    rows = rows.withColumn("p_block", F.when(asked, p_block(parts(F.when(asked, F.col("url"))))))
     own = F.when(F.col("p_block") >= threshold, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", own).alias("verdict"), "p_block")
