@@ -15,28 +15,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
-#: Bounds of the labelled sample: characters a language, and of one document.
-SAMPLE, EXCERPT = 60_000, 3_000
-#: Letters told apart; rarer ones count as one more.
-LETTERS = 60
-#: Texts are parsed in stretches of so many symbols, many stretches at a time; a phrase ends with its stretch.
-WIDTH = 256
+#: Bounds of the labelled sample: characters a language, of one document, and languages, those with the most text.
+SAMPLE, EXCERPT, LANGUAGES = 60_000, 3_000, 256
+#: Texts still being parsed below which the rest is parsed one by one: steps over few texts cost as much as over many.
+FEW = 24
 
 
 @dataclass
 class Model:
+    """Suffix automata of the languages in one table. A state's transition by symbol c is at base[state] + c if owner
+    there is the state. State 0 has none: a parse starts there, and again after a symbol that a language doesn't have."""
+
     langs: list[str]
     letters: dict[str, int]
     lengths: list[int]
-    edges: list[tuple]  # for each language: states, from, symbol, to
+    base: object = None
+    owner: object = None
+    target: object = None
+    first: object = None  # by symbol and language: the state after a phrase's first symbol
 
 
-def _automaton(symbols: list[int]) -> tuple:
-    """Suffix automaton as arrays of its edges; state 0 is the root and all states accept."""
-    import numpy as np
-
+def _automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Suffix automaton: the transitions of each state; state 0 is the root and all states accept."""
     size, link, step = [0], [-1], [{}]
     last = 0
     for c in symbols:
@@ -62,16 +62,44 @@ def _automaton(symbols: list[int]) -> tuple:
                     p = link[p]
                 link[q] = link[now] = twin
         last = now
-    flat = [(s, c, t) for s, own in enumerate(step) for c, t in own.items()]
-    table = np.array(flat, np.int32).reshape(-1, 3)
-    return len(step), table[:, 0], table[:, 1].astype(np.uint8), table[:, 2]
+    return step
+
+
+def _packed(steps: list[list[dict]], symbols: int):
+    """base, owner, target of all automata: states with several transitions are laid out first, each at the first place
+    from a spot of its own on where its symbols fall on free slots; those with one fill what is left."""
+    import numpy as np
+
+    roots = np.cumsum([1, *[len(s) for s in steps]])[:-1]
+    own = [(root + k, root, sorted(to.items())) for root, step in zip(roots.tolist(), steps) for k, to in enumerate(step)]
+    many = sorted((x for x in own if len(x[2]) > 1), key=lambda x: (-len(x[2]), x[0]))
+    edges = sum(len(x[2]) for x in own)
+    size = edges + edges // 4 + 2 * symbols + 2
+    owner, target = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    base = np.full(1 + sum(map(len, steps)), symbols + 1, np.int64)  # without transitions: any place, owned by others
+    taken, span = bytearray(size), edges + edges // 4 + 1
+    for state, root, to in many:
+        at = state * 2654435761 % span
+        while any(taken[at + c] for c, _ in to):
+            at = at + 1 if at < span else 0
+        base[state] = at
+        for c, t in to:
+            taken[at + c], owner[at + c], target[at + c] = 1, state, t + root
+    one = [(state, *to[0], root) for state, root, to in own if len(to) == 1]
+    if one:
+        state, c, t, root = (np.array(x, np.int64) for x in zip(*one))
+        free = np.flatnonzero(np.frombuffer(bytes(taken), np.uint8) == 0)
+        free = free[free >= symbols][: len(one)]
+        base[state] = free - c
+        owner[free], target[free] = state, t + root
+    return roots, base.astype(np.int32), owner, target
 
 
 def _symbol_table(letters: dict[str, int]):
-    """Code point -> symbol: 0 for all but letters, 1 for a rare letter, else the letter's own."""
+    """Code point -> symbol: 0 for all but letters, 1 for a letter that no language has, else the letter's own."""
     import numpy as np
 
-    table = np.zeros(0x110000, np.uint8)
+    table = np.zeros(0x110000, np.uint16 if len(letters) < 65_000 else np.uint32)
     for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
@@ -80,25 +108,30 @@ def _symbol_table(letters: dict[str, int]):
     return table
 
 
-def _symbols(texts: list[str], table):
+def _symbols(texts: list[str], table, block: int = 1 << 22):
     """Symbols of all texts in a row, runs of symbol 0 as one, and each text's number of symbols."""
     import numpy as np
 
     lengths = np.array([len(t) for t in texts], np.int64)
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-    s = table[points]
-    owner = np.repeat(np.arange(len(texts)), lengths)
+    whole = "".join(texts) if len(texts) != 1 else texts[0]
+    look = lambda t: table[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")]
+    s = np.concatenate([look(whole[k : k + block]) for k in range(0, len(whole), block)] or [table[:0]])
     keep = np.ones(len(s), bool)
-    keep[1:] = (s[1:] != 0) | (s[:-1] != 0) | (owner[1:] != owner[:-1])
-    return s[keep], np.bincount(owner[keep], minlength=len(texts))
+    keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
+    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+    keep[starts] = True
+    if len(starts):
+        lengths[lengths > 0] = np.add.reduceat(keep, starts, dtype=np.int64)
+    return s[keep], lengths
 
 
-def sample(labelled: DataFrame, text: str, lang: str, id_col: str, chars: int = SAMPLE, excerpt: int = EXCERPT) -> list[tuple[str, str]]:
-    """A bounded sample of (lang, text): about 2 * chars characters a language, of excerpt a document at most, in hash order.
+def sample(labelled: DataFrame, text: str, lang: str, id_col: str, chars: int = SAMPLE, excerpt: int = EXCERPT, languages: int = LANGUAGES) -> list[tuple[str, str]]:
+    """A bounded sample of (lang, text): about 2 * chars characters a language, of excerpt a document at most, in hash
+    order, of the languages with the most text.
 
     Rows are drawn by id and text, so copies of one text are drawn apart, and equal excerpts come once."""
     own = labelled.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
-    held = own.select("lang", F.least(F.length("text"), F.lit(excerpt)).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    held = own.select("lang", F.least(F.length("text"), F.lit(excerpt)).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
     share = F.least(F.lit(1.0), F.lit(2.0 * chars) / F.col("n"))
     place = F.shiftrightunsigned(F.xxhash64(F.lit(5), "id", "text"), 11) / float(1 << 53)
     drawn = own.join(F.broadcast(held), "lang").filter(place <= share)
@@ -106,87 +139,101 @@ def sample(labelled: DataFrame, text: str, lang: str, id_col: str, chars: int =
     return [(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.place, r.text))]
 
 
-def fit(rows: list[tuple[str, str]], chars: int = SAMPLE, letters: int = LETTERS) -> Model:
-    """Automata of the rows (lang, text): the same number of characters for all languages that have them."""
-    from collections import Counter
+def fit(rows: list[tuple[str, str]], chars: int = SAMPLE) -> Model:
+    """Automata of the rows (lang, text): the same number of characters for all languages that have them. All letters
+    of the sample are told apart, whatever their script."""
+    import numpy as np
 
-    seen = Counter(c for _, t in rows for c in t.lower() if c.isalpha())
-    known = {c: k + 2 for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:letters])}
-    table, model = _symbol_table(known), Model([], known, [], [])
+    seen = sorted({c for _, t in rows for x in t.lower() for c in x if c.isalpha()})
+    known = {c: k + 2 for k, c in enumerate(seen)}
+    table, model, steps = _symbol_table(known), Model([], known, []), []
     for lang in sorted({r[0] for r in rows}):
         s, _ = _symbols([t + " " for x, t in rows if x == lang], table)
         if (s != 0).any():
             s = s[:chars]
             model.langs.append(lang)
             model.lengths.append(len(s))
-            model.edges.append(_automaton(s.tolist()))
+            steps.append(_automaton(s.tolist()))
+    symbols = len(known) + 2
+    roots, model.base, model.owner, model.target = _packed(steps, symbols)
+    model.first = np.zeros((symbols, len(steps)), np.int32)
+    for k, (root, step) in enumerate(zip(roots, steps)):
+        for c, t in step[0].items():
+            model.first[c, k] = root + t
     return model
 
 
 class Parser:
-    """Counts the phrases of texts under each of a model's languages, many stretches in lockstep."""
+    """Counts the phrases of texts under each of a model's languages, all languages and many texts in lockstep."""
 
     def __init__(self, model: Model):
+        self.model, self.table = model, _symbol_table(model.letters)
+
+    def phrases(self, texts: list[str]):
+        """The number of phrases of each text under each language, the number of symbols, and whether it has a letter.
+
+        A phrase is the longest match from where the last one ended; a symbol that a language doesn't have is one of its own."""
         import numpy as np
 
-        self.model, self.table = model, _symbol_table(model.letters)
-        self.stop = max(model.letters.values(), default=1) + 1
-        self.width = width = self.stop + 1
-        self.roots = np.cumsum([0, *[e[0] for e in model.edges]])[:-1].astype(np.int32)
-        states = sum(e[0] for e in model.edges)
-        self.next = np.full((states, width), -1, np.int32)
-        for root, (n, a, c, b) in zip(self.roots, model.edges):
-            self.next[a + root, c] = b + root
-        self.next[:, self.stop] = np.arange(states)
-        # From a root, an unknown symbol is a phrase of its own.
-        self.first = np.where(self.next[self.roots] < 0, self.roots[:, None], self.next[self.roots])
-        self.next = self.next.ravel()
+        m = self.model
+        s, lengths = _symbols(texts, self.table)
+        letters = lengths > 0
+        if letters.any():
+            letters[letters] = np.add.reduceat(s != 0, (np.cumsum(lengths) - lengths)[letters], dtype=np.int64) > 0
+        order = np.argsort(-lengths, kind="stable")
+        at, left = (np.cumsum(lengths) - lengths)[order], lengths[order]
+        counts = np.zeros((len(texts), len(m.langs)), np.int32)
+        state = np.zeros((len(texts), len(m.langs)), np.int64)
+        active, t = int((left > 0).sum()), 0
+        ends = -left  # ascending
+        while active > FEW:
+            # All texts that are still active have at least this many symbols left.
+            for _ in range(int(left[active - 1]) - t):
+                c = s.take(at[:active] + t).astype(np.int64)
+                now = state[:active]
+                slot = m.base.take(now) + c[:, None]
+                miss = m.owner.take(slot) != now
+                counts[:active] += miss
+                state[:active] = np.where(miss, m.first.take(c, 0), m.target.take(slot))
+                t += 1
+            active = int(np.searchsorted(ends, -t))
+        if active:
+            base, owner, target = memoryview(m.base), memoryview(m.owner), memoryview(m.target)
+            first = m.first.T.copy()
+            for i in range(active):
+                for begin in range(int(at[i]) + t, int(at[i] + left[i]), 1 << 20):
+                    rest = s[begin : min(begin + (1 << 20), at[i] + left[i])].tolist()
+                    for k in range(len(m.langs)):
+                        start, now, n = memoryview(first[k]), int(state[i, k]), 0
+                        for c in rest:
+                            slot = base[now] + c
+                            if owner[slot] == now:
+                                now = target[slot]
+                            else:
+                                now, n = start[c], n + 1
+                        state[i, k], counts[i, k] = now, counts[i, k] + n
+        out = np.empty_like(counts)
+        out[order] = counts
+        return out.T, lengths, letters
 
     def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
-        """(lang, score) of each text: `und` and 0 without letters."""
+        """(lang, score) of each text: `und` and 0 without letters. Of equal languages the first by name wins."""
         import numpy as np
 
         m = self.model
         if not m.langs or not texts:
             return [("und", 0.0)] * len(texts)
-        s, lengths = _symbols(texts, self.table)
-        owner = np.repeat(np.arange(len(texts)), lengths)
-        starts = np.cumsum(lengths) - lengths
-        stretches = -(-lengths // WIDTH)
-        of = np.repeat(np.arange(len(texts)), stretches)
-        within = np.arange(len(of)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
-        at = starts[of] + within * WIDTH
-        left = np.minimum(WIDTH, lengths[of] - within * WIDTH)
-        counts = np.zeros((len(m.langs), len(of)), np.int32)
-        order = np.argsort(-left, kind="stable")
-        padded = np.r_[s, np.full(WIDTH, self.stop, np.uint8)]
-        for begin in range(0, len(order), 8192):
-            own = order[begin : begin + 8192]
-            places = at[own][None, :] + np.arange(WIDTH)[:, None]
-            block = np.where(np.arange(WIDTH)[:, None] < left[own][None, :], padded[places], np.uint8(self.stop))
-            for k, root in enumerate(self.roots):
-                state, first = np.full(len(own), root, np.int32), self.first[k]
-                found = np.ones(len(own), np.int32)
-                for t in range(int(left[own[0]])):
-                    c = block[t]
-                    to = self.next.take(state * np.int32(self.width) + c)
-                    ended = np.flatnonzero(to < 0)
-                    found[ended] += 1
-                    to[ended] = first[c[ended]]
-                    state = to
-                counts[k, own] = found
-        total = np.stack([np.bincount(of, row, len(texts)) for row in counts])
+        total, lengths, letters = self.phrases(texts)
         bits = total * np.log2(np.maximum(m.lengths, 2))[:, None] / np.maximum(lengths, 1)
         best = bits.argmin(0)
         # Odds of the languages over as much text as tells them apart, at most 40 symbols.
         odds = 2.0 ** ((bits.min(0) - bits) * np.minimum(lengths, 40))
         score = 1.0 / odds.sum(0)
-        letters = np.bincount(owner, s != 0, len(texts)) > 0
         return [(m.langs[b], float(x)) if ok else ("und", 0.0) for b, x, ok in zip(best, score, letters)]
 
 
 def _chunks(texts, most: int = 1 << 21):
-    """Consecutive texts of about so many characters together; a long text comes alone, cut into parts by predict."""
+    """Consecutive texts of about so many characters together, a text always whole."""
     own, size = [], 0
     for t in texts:
         own.append(t)
@@ -220,18 +267,19 @@ def predictor(spark, model: Model):
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", folds: int = 5, **bounds) -> Model:
-    """A model of the labelled documents outside the held-out fold (crc32 of the id as text, mod folds, is 0)."""
+    """A model of the labelled documents outside the held-out fold (crc32 of the id as text, mod folds, is 0); a null id is in none.
+    bounds: chars, excerpt and languages of the sample."""
     held = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0
     rows = sample(docs.filter(~held), text, lang, id_col, **bounds)
     return fit(rows, bounds.get("chars", SAMPLE))
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", folds: int = 5) -> DataFrame:
-    """One row for each row of docs: doc_id, held_out, lang_pred, score. Learns from docs itself.
+    """One row for each row of docs: doc_id, held_out, lang_pred, score. Learns from docs itself. Null text, and text
+    without a letter, is `und` with score 0; a letter of a script that no language has makes phrases of one symbol.
 
-    A null id is outside the held-out fold's training rows and returned with held_out false. Without labelled
+    Repeated rows are each predicted, alike. A null id is outside the held-out fold's training rows and returned with held_out false. Without labelled
     text, and for an empty table, all predictions are `und`."""
-    small_batches(docs.sparkSession)
     predict = predictor(docs.sparkSession, learn(docs, text, lang, id_col, folds))
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), predict(F.col(text)).alias("p"))
@@ -239,7 +287,11 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: st
 
 
 def identified(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """docs without those whose language can't be told (`und`); columns unchanged."""
-    small_batches(docs.sparkSession)
-    predict = predictor(docs.sparkSession, learn(docs, text, lang, id_col))
+    """docs without those whose language can't be told (`und`: null, empty or without a letter); columns unchanged,
+    whatever their names. Repeated rows stay or go together. Without labelled text, rows with a
+    letter stay."""
+    model = learn(docs, text, lang, id_col)
+    if not model.langs:
+        return docs.filter(F.col(text).rlike(r"\p{L}"))
+    predict = predictor(docs.sparkSession, model)
     return docs.filter(predict(F.col(text))["lang_pred"] != "und")

@@ -383,13 +383,23 @@ def test_language_sample_is_bounded(spark):
     assert 50 < len(rows) and sum(len(t) for _, t in rows) < 240_000
 
 
-def test_cross_parsing_counts_longest_matches():
-    text = "the harbor and the lantern were lit by dawn while the pilots slept in the harbor "
-    model = langid.fit([("en", text)], chars=1000)
+@pytest.mark.parametrize("few", [0, 3, 10**6])
+def test_cross_parsing_counts_longest_matches(monkeypatch, few):
+    """Every count of Parser against longest matches looked up in the training text, also of texts in lockstep or alone."""
+    import random
+
+    monkeypatch.setattr(langid, "FEW", few)
+    r = random.Random(6)
+    scripts = {"aa": "abcdeé", "bb": "абвгд", "cc": "abxyz", "dd": "日本語学校"}
+    speak = lambda own, n: "".join(r.choice(own + " .") for _ in range(n))
+    rows = [(lang, speak(own, 300)) for lang, own in scripts.items()]
+    model = langid.fit(rows, chars=250)
     parse = langid.Parser(model)
-    corpus = re.sub("[^a-z]+", " ", text)
+    told = {x: chr(0xE000 + k) for k, x in enumerate(sorted({c for own in scripts.values() for c in own}))}
+    plain = lambda t: re.sub(" +", " ", "".join(told.get(c, "?" if c.isalpha() else " ") for c in t.lower()))
+    known = {lang: plain(t + " ")[:250] for lang, t in rows}
 
-    def phrases(t):
+    def phrases(t, corpus):
         n, at = 0, 0
         while at < len(t):
             k = 1
@@ -398,19 +408,35 @@ def test_cross_parsing_counts_longest_matches():
             at, n = at + k, n + 1
         return n
 
-    counted = []
-    parse.model.langs = ["en"]
-    for t in ("the harbor slept", "zebra the lan", "dawn dawn dawn", "lit by dawn while the pilots"):
-        s, lengths = langid._symbols([t], parse.table)
-        state, n = 0, 1
-        table = parse.next.reshape(-1, parse.width)
-        for c in s:
-            to = table[state, c]
-            if to < 0:
-                n, to = n + 1, parse.first[0][c]
-            state = to
-        counted.append((n, phrases(t)))
-    assert all(abs(a - b) <= sum(c not in corpus for c in "z") for a, b in counted)
+    texts = [speak(r.choice(list(scripts.values())) + r.choice(["", "q", "Ω1"]), r.choice([0, 1, 2, 30, 400])) for _ in range(60)] + ["", "  ", "x" * 50, "Q"]
+    counts, lengths, letters = parse.phrases(texts)
+    for k, t in enumerate(texts):
+        assert lengths[k] == len(plain(t)) and letters[k] == any(c.isalpha() for c in t)
+        assert [int(row[k]) for row in counts] == [phrases(plain(t), known[lang]) for lang in model.langs]
+
+
+def test_many_scripts_are_told_apart():
+    """Letters of all scripts count, as many as there are: two with 600 letters each beside three small ones."""
+    import random
+
+    r = random.Random(2)
+    own = {"en": "abcdefghijklmnopqrstuvwxyz", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "el": "αβγδεζηθικλμνξοπρστυφχψω"}
+    own |= {"h1": "".join(map(chr, range(0x4E00, 0x4E00 + 600))), "h2": "".join(map(chr, range(0x5E00, 0x5E00 + 600)))}
+    words = {lang: ["".join(r.choices(x, k=r.randint(1, 6))) for _ in range(400)] for lang, x in own.items()}
+    speak = lambda lang: " ".join(r.choices(words[lang], k=40))
+    model = langid.fit([(lang, speak(lang)) for lang in own for _ in range(40)])
+    texts = [(lang, speak(lang)) for lang in own for _ in range(20)]
+    assert [x for x, _ in langid.Parser(model)([t for _, t in texts])] == [lang for lang, _ in texts]
+    bytes_a_language = (model.base.nbytes + model.owner.nbytes + model.target.nbytes + model.first.nbytes) / len(own)
+    assert bytes_a_language < 2 << 20
+
+
+def test_languages_are_bounded(spark):
+    """A dirty column with a language a row: only those with the most text are learnt, of equal ones the first by name."""
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("lang"))
+    more = spark.createDataFrame([(900, "harbor and lantern " * 9, "zz")], "doc_id long, text string, lang string")
+    rows = langid.sample(df.unionByName(more), "text", "lang", "doc_id", languages=5)
+    assert sorted({lang for lang, _ in rows}) == ["x0", "x1", "x10", "x100", "zz"]
 
 
 PAGES = "page_id long, url string, html string"
