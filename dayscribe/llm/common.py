@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share. Where none is configured, a temporary one if all run on this
+    machine; on a cluster that is an error, since executors wouldn't see it."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     own = sc._jsc.sc().getCheckpointDir()
     if own.isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="dayscribe-"))
         own = sc._jsc.sc().getCheckpointDir()
     return own.get().rstrip("/")
@@ -42,36 +45,41 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches of few rows: a batch of long texts must fit beside the executor's heap."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def clean_text(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
+    """rows joined with per_key, a row a key (without nulls) with the number of its rows in column count, which is dropped.
+
+    Keys of over a thousandth of all rows (total) are broadcast: there are fewer than a thousand. The others are
+    joined by an ordinary shuffle, so no task gets more than a thousandth for one key."""
+    hot = F.col(count) > max(64, total // 1000)
+    named = F.broadcast(per_key.filter(hot).drop(count))
+    rest = rows.join(named.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(per_key.filter(~hot).drop(count), key)
+    return rows.join(named, key).unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): (node, component), component being the smallest node.
 
-    Alternating large-star and small-star steps over a staged edge table; each step is two aggregations
-    with map-side combine and two joins whose skew Spark splits at run time. Nodes without an edge
-    aren't returned; self-loops and nulls are ignored.
-    """
+    Alternating large-star and small-star steps over a staged edge table; each step is two aggregations with map-side
+    combine and two joins in which the neighbours of a hub aren't one task's. Nodes without an edge aren't
+    returned; self-loops, repeated edges and nulls are ignored. No edges give no row."""
     a, b = F.col("a"), F.col("b")
     e = staged(edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     state = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
-        e = staged(small.filter("x.v <> x.m").select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).distinct(), "edges")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             break
         state = now
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        lowest = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both, lowest, "u", "n", 2 * now[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = spread_join(large, least, "u", "n", now[0])
+        small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
+        e = staged(small.filter("x.v <> x.m").select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).distinct(), "edges")
     roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, components, fresh, small_batches, staged
+from .common import clean_text, components, fresh, spread_join, staged
 
 #: Rows of a cell that one task compares; larger cells are dealt into pairs of blocks of about this many.
 BLOCK = 4096
@@ -54,8 +54,6 @@ def fingerprint(text: str | None, words: int = 4, block: int = 1 << 22) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 4, row: str | None = None) -> DataFrame:
     """(doc_id, fp): fp as a signed long with the fingerprint's bits. Null text counts as empty. With row, the name
     of a column that numbers the rows, also row and h, a hash of the text."""
-    small_batches(docs.sparkSession)
-
     def run(batches):
         import pyarrow as pa
 
@@ -169,17 +167,19 @@ def _links(distance: int):
                     if len(x):
                         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
 
-        rest = None
+        rest, held = None, []
         for batch in batches:
-            if not batch.num_rows:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if sum(len(x[0]) for x in held) < 65536:
                 continue
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now)]
+            now = [np.concatenate(x) for x in zip(*([rest] if rest is not None else []), *held)]
+            held = []
             last = int(np.searchsorted(now[0], now[0][-1]))
             if last:
                 yield from found(now[0][:last], now[1][:last].astype(np.int64), now[2][:last].view(np.uint64))
             rest = [x[last:].copy() for x in now]
+        if held:
+            rest = [np.concatenate(x) for x in zip(*([rest] if rest is not None else []), *held)]
         if rest is not None:
             yield from found(rest[0], rest[1].astype(np.int64), rest[2].view(np.uint64))
 
@@ -192,8 +192,6 @@ def links(distinct: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFra
 
     A cell with over block rows is dealt into blocks by hash and each pair of blocks compared by a task of its
     own, so no task holds more than about two blocks of one cell, and none is capped."""
-    spark = distinct.sparkSession
-    small_batches(spark, 65536)
     groups = n_groups(distinct.count(), distance)
     cells = distinct.select("fp").mapInArrow(_cells(groups, distance), "cell long, total byte, fp long")
     big = staged(cells.groupBy("cell").count().filter(F.col("count") > block), "cells")
@@ -223,21 +221,20 @@ def _resolved(fps: DataFrame, least: Column, name: str, distance: int) -> DataFr
     """fps, read several times, with the aggregate least of all rows reachable over links in column name."""
     distinct = staged(fps.groupBy("fp").agg(least.alias("least")), "distinct")
     found = components(links(distinct, distance))
-    roots = distinct.join(found.withColumnRenamed("node", "fp"), "fp")
-    lowest = roots.groupBy("component").agg(F.min("least").alias("lowest"))
-    moved = staged(roots.join(lowest, "component").select("fp", "lowest"), "roots")
+    roots = staged(distinct.join(found.withColumnRenamed("node", "fp"), "fp"), "linked")
+    lowest = roots.groupBy("component").agg(F.min("least").alias("lowest"), F.count(F.lit(1)).alias("n"))
+    moved = staged(spread_join(roots, lowest, "component", "n", roots.count()).select("fp", "lowest"), "roots")
     of = distinct.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "least").alias(name))
     return fps.join(of, "fp")
 
 
 def dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 4, distance: int = 4) -> DataFrame:
-    """docs with one document of each component, that of the smallest id (a null one only if there is no other);
-    columns unchanged. Each row is decided on its own, whatever rows share its id; of different texts with the
-    smallest id one stays. Only repeats of that row, equal in id and text, stay with it."""
+    """docs with one row of each component, one with the smallest id (a null one only if there is no other); columns
+    unchanged. Each row is decided on its own, whatever rows share its id: of repeated rows, and of different texts
+    with the smallest id, one stays. An empty table gives none."""
     (key,) = fresh(docs, "row")
     rows = staged(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
     fps = staged(fingerprints(rows, text, id_col, words, key), "fingerprints")
     found = _resolved(fps, F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h", "row")), "first", distance)
-    stays = (F.col("row") == F.col("first.row")) | (F.col("doc_id") == F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
-    gone = staged(found.filter(~F.coalesce(stays, F.lit(False))).select(F.col("row").alias(key)), "near-duplicates")
+    gone = staged(found.filter(F.col("row") != F.col("first.row")).select(F.col("row").alias(key)), "near-duplicates")
     return rows.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

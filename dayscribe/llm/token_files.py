@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import clean_text, shared_dir, small_batches, staged
+from .common import clean_text, shared_dir, staged
 from .tokens import vocabulary_path, worker_encoder
 
 #: Bounds of the sample that the dictionary is trained on: documents, characters of each; and its size.
@@ -71,7 +71,6 @@ def write_indexed(docs: DataFrame, folder: str, text: str = "text", id_col: str
     import hashlib
 
     spark = docs.sparkSession
-    small_batches(spark)
     path = path or vocabulary_path()
     raw = train(docs, text, path, end_id, id_col)
     mark = hashlib.sha256(raw).hexdigest()
@@ -121,7 +120,6 @@ def read_indexed(spark: SparkSession, folder: str, only: list[int] | None = None
     """doc_id, part, block, place (in the block), before (ids before it in its block), ids: from the files.
 
     With only, blocks that hold none of these documents are skipped and just their frames decompressed."""
-    small_batches(spark, 16)
     mark, raw = spark.read.parquet(f"{folder}/dictionary").first()
     held = spark.sparkContext.broadcast(bytes(raw))
     blocks = spark.read.parquet(f"{folder}/blocks").select("part", "block", "doc_ids", "n_tokens", "offsets", "dictionary", "data")
@@ -165,7 +163,6 @@ def block_starts(spark: SparkSession, folder: str) -> DataFrame:
 def write_flat(docs: DataFrame, folder: str, text: str = "text", id_col: str = "doc_id", end_id: int = 50256, block_bytes: int = 1 << 20, path: str | None = None) -> None:
     """Writes a flat stream of unsigned 16-bit ids for each partition of docs, its file, in blocks (file, block, data)
     of block_bytes but for the last; and between them the documents' ids in the same order (file, first, doc_ids)."""
-    small_batches(docs.sparkSession)
     path = path or vocabulary_path()
 
     def run(batches):
@@ -220,7 +217,6 @@ def scan_flat(stream: DataFrame, end_id: int = 50256, dtype: str = "<u2") -> Dat
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["file", "block", "n", "last", "lengths"])
 
-    small_batches(stream.sparkSession, 16)
     blocks = stream.select("file", "block", "data").mapInArrow(run, "file long, block long, n long, last long, lengths array<long>")
     blocks = staged(blocks, "blocks")
     order = Window.partitionBy("file").orderBy("block")

@@ -142,7 +142,7 @@ def test_near_duplicates(spark, docs, clashing):
     assert got == want
     kept = simhash.dedup(clashing)
     assert kept.columns == clashing.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _, c in want for d in [None if d < 0 else d] if (d if d is not None else -1) == c)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(min(low[g], default=None) for g in low)
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.dedup(empty(spark)).count() == 0
 
 
@@ -159,6 +159,8 @@ def test_near_dedup_decides_by_row(spark):
     assert len(set(group)) == 6
     df = spark.createDataFrame([(d, t, "mine") for d, t in rows], "doc_id long, text string, row string").repartition(3)
     kept = simhash.dedup(df).collect()
+    twice = simhash.dedup(df.unionByName(df)).collect()  # repeated rows are near copies too
+    assert len(twice) == len(kept)
     of = {t: g for (_, t), g in zip(rows, group)}
     assert sorted(of[r.text] for r in kept) == sorted(set(group))
     assert Counter(r.doc_id for r in kept) == {None: 3, 1: 1, 5: 1, 8: 1} and {r.text for r in kept if r.doc_id in (1, 5)} == {base, prose(3, 50)}
@@ -333,7 +335,9 @@ def vectors():
     rows += [(200 + k, base[0].tolist(), 0) for k in range(30)] + [(300, (base[0] * 7).tolist(), 0), (301, base[0].tolist(), None), (302, None, 0)]
     rows += [(303, [0.0] * 12, 0), (304, [float("nan")] + [1.0] * 11, 0), (305, [None] + [1.0] * 11, 0), (306, [float("inf")] * 12, 0), (307, [], 0), (308, [1.0, 0.0], 0), (309, [2.0, 0.0], 0)]
     rows += [(310 + k, (base[0] * x).tolist(), 0) for k, x in enumerate((1e200, 1e-200, -1e250))]
-    return rows
+    rows += [(400 + k, [1.0] * (13 + k), 0) for k in range(20)]  # lengths that one vector has
+    rows += [(450 + k, base[1].tolist() + [0.0] * 3000 + [0.001 * k], 1) for k in range(4)]  # very long ones
+    return rows + [(None, base[2].tolist(), 1), (None, [5.0, 5.0], 3), (300, (base[0] * 7).tolist(), 0)]  # without an id; repeated
 
 
 def cosine(v, w):
@@ -341,7 +345,7 @@ def cosine(v, w):
     return np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)
 
 
-@pytest.mark.parametrize("tile,grid", [(7, 1), (1024, 2)])
+@pytest.mark.parametrize("tile,grid", [(84, 1), (40, 2), (1 << 20, 2)])
 def test_embedding_dedup(spark, tile, grid):
     rows = vectors()
     ok = [v is not None and len(v) > 0 and None not in v and np.isfinite(v).all() and any(v) and g is not None for _, v, g in rows]
@@ -353,10 +357,15 @@ def test_embedding_dedup(spark, tile, grid):
                 pairs.append((i, j))
     n = Counter(x for p in pairs for x in p)
     root = roots(len(rows), pairs)
-    want = sorted((rows[k][0], n[k], rows[root[k]][0], rows[root[k]][0] == rows[k][0]) for k in range(len(rows)))
+    low = defaultdict(list)
+    for k, g in enumerate(root):
+        low[g] += [rows[k][0]] if rows[k][0] is not None else []
+    want = sorted((str(rows[k][0]), n[k], str(min(low[g], default=None)), rows[k][0] == min(low[g], default=None)) for k, g in enumerate(root))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for c in ("row", "k1", "size", "rep", "weight", "component_id"):
+        df = df.withColumn(c, F.lit("mine"))
     got = embedding_dedup.near_duplicates(df.repartition(3), tile=tile, grid=grid)
-    assert sorted(map(tuple, got.collect())) == want
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got.collect()) == want
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
