@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import clean_text, fresh, staged
 
-#: Hash order is cut into so many buckets a source; places are exact at their edges and linear within.
-BITS = 10
+#: Hash order is cut into buckets of about this many rows, a power of two of them; cumulated sizes are exact within and across them.
+BUCKET = 1 << 14
 #: The plan, a row a source and bucket, is broadcast up to this many rows (about 20 MB), and joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,34 +49,26 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), repeats: float = 3.0) -> DataFr
     return ranked.select("none", "source", "source_size", "rank", "weight", target.alias("target"))
 
 
-def plan(narrow: DataFrame, weights=(5, 2, 1), repeats: float = 3.0, schedule=((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))) -> DataFrame:
-    """narrow: (none, source, h, size), staged. A row a source and bucket: source_size, target, whole passes, the
-    hash up to which the last pass goes, tokens before the bucket and in it, and the schedule's start and end."""
-    bucket = F.shiftrightunsigned("h", 64 - BITS).alias("bucket")
-    cells = staged(narrow.groupBy("none", "source", bucket).agg(F.sum("size").alias("tokens")), "buckets")
+def _bucket(bits: int) -> Column:
+    return (F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")).alias("bucket")
+
+
+def plan(narrow: DataFrame, weights=(5, 2, 1), repeats: float = 3.0, schedule=((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))) -> tuple[DataFrame, int]:
+    """narrow: (none, source, h, size), staged. A row a source and bucket: source_size, target, whole passes, what is
+    left for the last pass, tokens before the bucket, and the schedule's start and end; and the bits of a bucket."""
+    bits = max(0, (narrow.count() // BUCKET).bit_length())
+    cells = staged(narrow.groupBy("none", "source", _bucket(bits)).agg(F.sum("size").alias("tokens")), "buckets")
     sized = cells.groupBy("none", "source").agg(F.sum("tokens").alias("source_size"))
     aimed = targets(sized, weights, repeats)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     passes = F.least(F.floor(ratio + 1e-9), F.lit(int(repeats))).cast("int")
     aimed = aimed.withColumn("passes", passes).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size")))
     own = Window.partitionBy("none", "source").orderBy("bucket")
-    placed = cells.withColumn("before", F.sum("tokens").over(own) - F.col("tokens"))
-    placed = staged(placed.join(aimed, ["none", "source"]), "placed")
-    # The last pass ends within one bucket of a source: its rows are put in order one by one.
-    ends = placed.filter("before <= rest and rest < before + tokens").select("none", "source", "bucket", "before", "rest")
-    ends = ends.withColumnRenamed("before", "at")
-    rows = narrow.select("none", "source", "h", "size", bucket).join(ends, ["none", "source", "bucket"])
-    each = rows.groupBy("none", "source", "at", "rest", "h").agg(F.sum("size").alias("size"))
-    row = Window.partitionBy("none", "source").orderBy("h")
-    each = each.withColumn("start", F.col("at") + F.sum("size").over(row) - F.col("size"))
-    # A document goes in if most of it does.
-    last = each.filter(F.col("start") + F.col("size") / 2 <= F.col("rest")).groupBy("none", "source").agg(F.max("h").alias("last"))
-    edge = ends.select("none", "source", F.col("bucket").alias("edge"))
-    placed = placed.join(edge, ["none", "source"], "left").join(last, ["none", "source"], "left")
+    placed = cells.withColumn("before", F.sum("tokens").over(own) - F.col("tokens")).drop("tokens").join(aimed, ["none", "source"])
     start = F.element_at(F.array(*[F.lit(float(a)) for a, _ in schedule]), (F.col("rank") % len(schedule) + 1).cast("int"))
     end = F.element_at(F.array(*[F.lit(float(b)) for _, b in schedule]), (F.col("rank") % len(schedule) + 1).cast("int"))
     planned = staged(placed.withColumn("start", start).withColumn("end", end).drop("rank", "weight"), "mix")
-    return F.broadcast(planned) if planned.count() <= BROADCAST_ROWS else planned
+    return F.broadcast(planned) if planned.count() <= BROADCAST_ROWS else planned, bits
 
 
 def _narrow(docs: DataFrame, text: str, source: str, id_col: str) -> list[Column]:
@@ -84,14 +76,18 @@ def _narrow(docs: DataFrame, text: str, source: str, id_col: str) -> list[Column
     return [*_key(F.col(source)), F.xxhash64(F.lit(11), F.col(id_col), body).alias("h"), word_count(text).alias("size")]
 
 
-def _takes(rows: DataFrame, planned: DataFrame) -> DataFrame:
-    """rows with none, source, h, size: adds source_size, target, copies, place (tokens before, in a pass) and the schedule."""
-    rows = rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - BITS))
-    out = rows.join(planned, ["none", "source", "bucket"], "left")
-    more = F.when(F.col("bucket") < F.col("edge"), True).when(F.col("bucket") > F.col("edge"), False)
-    more = more.otherwise(F.coalesce(F.col("h") <= F.col("last"), F.lit(False)))
-    low = F.col("h").bitwiseAND((1 << (64 - BITS)) - 1) / float(1 << (64 - BITS))
-    return out.withColumn("copies", F.col("passes") + more.cast("int")).withColumn("place", F.col("before") + low * F.col("tokens"))
+def _takes(rows: DataFrame, planned: DataFrame, bits: int) -> DataFrame:
+    """rows with none, source, h, size: adds source_size, target, copies, place (tokens before, in a pass) and the schedule.
+
+    A place is the sum of the sizes of all the source's rows with a smaller hash: summed by bucket in the plan, and
+    within the bucket by a window over it, whose rows are few whatever the source's size."""
+    rows = rows.withColumn("bucket", _bucket(bits))
+    within = Window.partitionBy("none", "source", "bucket").orderBy("h").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    out = rows.join(planned, ["none", "source", "bucket"], "left").withColumn("place", F.col("before") + F.col("within"))
+    # In the last pass a document goes in if most of it does.
+    more = (F.col("rest") > 0) & (F.col("place") + F.col("size") / 2 <= F.col("rest"))
+    return out.withColumn("copies", F.col("passes") + more.cast("int"))
 
 
 def _position(turn: Column) -> Column:
@@ -108,9 +104,9 @@ def assign(docs: DataFrame, text: str = "text", source: str = "source", id_col:
     Null text has size 0; null source is a source of its own, ranked last. Equal rows are taken alike. A source
     misses its target by at most half the document at which its last pass ends. An empty table gives none.
     """
-    none = fresh(docs, "id")[0]
-    rows = staged(docs.select(F.col(id_col).alias(none), *_narrow(docs, text, source, id_col)), "sizes").withColumnRenamed(none, "doc_id")
-    out = _takes(rows, plan(rows.select("none", "source", "h", "size"), **how))
+    (own,) = fresh(docs, "id")
+    rows = staged(docs.select(F.col(id_col).alias(own), *_narrow(docs, text, source, id_col)), "sizes").withColumnRenamed(own, "doc_id")
+    out = _takes(rows, *plan(rows.select("none", "source", "h", "size"), **how))
     position = F.when(F.col("copies") > 0, _position(F.lit(0)))
     out = out.select(
         "doc_id", F.when(~F.col("none"), F.col("source")).alias("source"), "size", "source_size", "target", "copies",
@@ -121,11 +117,12 @@ def assign(docs: DataFrame, text: str = "text", source: str = "source", id_col:
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", **how) -> DataFrame:
     """docs as the mix trains on them: rows taken repeatedly repeat, rows not taken are left out, and all are
-    range-sorted by training position. Columns unchanged, whatever their names."""
+    range-sorted by training position. Columns unchanged, whatever their names. Null text, null sources and equal
+    rows are as in assign; a row without words is taken where its place is. An empty table gives none."""
     rows = staged(docs.select(*_narrow(docs, text, source, id_col)), "sizes")
-    planned = plan(rows, **how)
+    planned, bits = plan(rows, **how)
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_narrow(docs, text, source, id_col))
-    out = _takes(kept, planned).filter("copies > 0")
+    out = _takes(kept, planned, bits).filter("copies > 0")
     out = out.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     out = out.select("row", _position(F.col("turn")).alias("position"), "h")
     return out.repartitionByRange("position", "h").sortWithinPartitions("position", "h").select("row.*")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import clean_text, staged
-from .tokens import vocabulary_path, worker_encoder
+from .tokens import REMEMBERED, vocabulary_path, worker_encoder
 
 #: Open windows of a partition; partitions whose leftovers one task merges.
 WINDOWS, FAN_IN = 16, 32
@@ -142,7 +142,7 @@ def _merged(length: int, level: int, last: bool):
     return run
 
 
-def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 1024, end_id: int = 0, windows: int = WINDOWS, path: str | None = None, remembered: int = 1_000_000) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 1024, end_id: int = 0, windows: int = WINDOWS, path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of the documents in sequences of length tokens: doc_id, start, length, doc_tokens, sequence_id,
     offset, ids (little-endian unsigned 32-bit integers).
 

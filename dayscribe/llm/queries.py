@@ -15,34 +15,48 @@ def table(spark, sf_dir: str, name: str):
 
 
 def op1_language_id(spark, sf_dir):
+    """The language of every whole text of documents, learnt outside the held-out fold. Null text, and text without a letter, is `und`
+    with score 0; a null id is in no fold. Repeated rows are each predicted, an empty table gives no row."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op2_exact_dedup(spark, sf_dir):
+    """Every row of documents with the row that stays of its text. Null text is empty; of repeated rows with the largest id one is
+    kept; a null id is smaller than any. An empty table gives no row."""
     docs = table(spark, sf_dir, "documents")
     rows = exact_dedup.resolve(docs.select("doc_id", exact_dedup.digest("text").alias("digest")))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op3_embedding_near_dedup(spark, sf_dir):
+    """Every vector with its links and component. Null labels and unusable vectors link with nothing; a null id never names
+    a component that has others; repeated rows link with each other. An empty table gives no row."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op4_simhash_near_dedup(spark, sf_dir):
+    """Every document with its fingerprint and component. Null and empty texts have fingerprint zero and link; a null id never
+    names a component that has others; repeated rows come each. An empty table gives no row."""
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op5_source_mixing(spark, sf_dir):
+    """Every document with what the mix takes of it. Null text has size 0, a null source is one of its own, equal rows are taken
+    alike. An empty table gives no row."""
     rows = mixing.assign(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "position")
 
 
 def op6_token_counts(spark, sf_dir):
+    """Every document's number of ids and an end id, from flat files. Null text counts 1, repeated rows come each, an empty table
+    gives no row."""
     return token_files.token_counts(table(spark, sf_dir, "documents"))
 
 
 def op7_token_files(spark, sf_dir):
+    """Every document's place, number and checksum of ids, as read back from the token files. Null text is the end id alone; null
+    ids come first, equal ones in the order of a hash of their texts. An empty table gives no row."""
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write_indexed(table(spark, sf_dir, "documents"), folder)
     rows = token_files.read_indexed(spark, folder)
@@ -52,19 +66,26 @@ def op7_token_files(spark, sf_dir):
 
 
 def op8_main_text(spark, sf_dir):
+    """Every page's main text. Null html is empty, a page without a host is decided by itself, repeated rows come each. An empty table
+    gives no row."""
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
 def op9_url_filter(spark, sf_dir):
+    """Every page's verdict: a rule's, else the trees', which learn from the pages' urls that a rule decides. A null url is allowed;
+    repeated rows come each. An empty table gives no row."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
 def op10_packing(spark, sf_dir):
+    """The pieces of all documents in sequences of 1024 tokens. Null text is the end id alone; repeated rows are documents of their
+    own. An empty table gives no row."""
     rows = packing.pack(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def pipeline(spark, sf_dir):
+    """The pieces that corpus_pipeline's five stages make of documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

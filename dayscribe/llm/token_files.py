@@ -162,7 +162,10 @@ def block_starts(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_flat(docs: DataFrame, folder: str, text: str = "text", id_col: str = "doc_id", end_id: int = 50256, block_bytes: int = 1 << 20, path: str | None = None) -> None:
     """Writes a flat stream of unsigned 16-bit ids for each partition of docs, its file, in blocks (file, block, data)
-    of block_bytes but for the last; and between them the documents' ids in the same order (file, first, doc_ids)."""
+    of block_bytes but for the last; and between them the documents' ids in the same order (file, first, doc_ids).
+
+    Null text is empty and gives the end id alone. Ids over 65,535, and an end id that occurs within a text, are
+    errors: what is read back would be wrong. An empty table gives no block."""
     path = path or vocabulary_path()
 
     def run(batches):
@@ -180,7 +183,12 @@ def write_flat(docs: DataFrame, folder: str, text: str = "text", id_col: str = "
 
         for batch in batches:
             for x in batch.column(1):
-                held += np.frombuffer(encode(x.as_py()) + end, "<u4").astype("<u2").tobytes()
+                ids = np.frombuffer(encode(x.as_py()) + end, "<u4")
+                if ids.max() > 0xFFFF:
+                    raise ValueError(f"id {ids.max()} doesn't fit 16 bits")
+                if (ids[:-1] == end_id).any():
+                    raise ValueError(f"end id {end_id} is the id of a text's token")
+                held += ids.astype("<u2").tobytes()
                 while len(held) >= block_bytes:
                     yield row(block, bytes(held[:block_bytes]), None, None)
                     del held[:block_bytes]
@@ -233,7 +241,10 @@ def scan_flat(stream: DataFrame, end_id: int = 50256, dtype: str = "<u2") -> Dat
 
 
 def token_counts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", end_id: int = 50256, folder: str | None = None, **how) -> DataFrame:
-    """(doc_id, n_tokens) of each document by way of flat files: written, scanned, and named by place."""
+    """(doc_id, n_tokens) of each document, its end id counted, by way of flat files: written, scanned, and named by place.
+
+    Null and empty texts count 1. Repeated rows, and rows that share an id or have none, are counted each. An empty
+    table gives none."""
     import uuid
 
     spark = docs.sparkSession

@@ -16,6 +16,8 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Letters and digits among the characters that ODD lets pass; their classes are old and settled.
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 ODD = r"[^\t-\r\x20-\x7e\xa1-ɏ‐-‧]"
+#: Pre-tokens that a worker remembers: 2,000,000 entries in all, some 200 MB.
+REMEMBERED = 800_000
 MARK = "\1"  # odd, so no text that is split holds it
 WORD = rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+"
 
@@ -59,9 +61,11 @@ class Encoder:
     """text -> its ids as little-endian unsigned 32-bit integers in bytes; strings of special tokens are ordinary text.
 
     remembered bounds the entries of the lookups (2.5 times as many in all), so a worker's memory doesn't grow with its input.
+    A file that normalises text, or splits it in another way than byte-level BPE does, is left to the library throughout.
     """
 
-    def __init__(self, path: str, remembered: int = 1_000_000, block: int = 1 << 21):
+    def __init__(self, path: str, remembered: int = REMEMBERED, block: int = 1 << 21):
+        import json
         import re
         from array import array
 
@@ -73,6 +77,12 @@ class Encoder:
         def plain(text: str) -> bytes:
             return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        split_by = told.get("pre_tokenizer") or {}
+        known = split_by.get("type") == "ByteLevel" and not split_by.get("add_prefix_space") and split_by.get("use_regex", True)
+        dropped = (told.get("model") or {}).get("dropout")
+        self._known = known and told.get("normalizer") is None and (told.get("model") or {}).get("type") == "BPE" and not dropped and not told["model"].get("ignore_merges")
         merge, letters = tokenizer.model.tokenize, _byte_letters()
 
         def token(x: str) -> bytes:
@@ -82,7 +92,7 @@ class Encoder:
         split = re.compile(WORD).findall
         words = _Recent(token, remembered // 8)
         word = words.__getitem__
-        line_feed = token("\n")
+        line_feed = token("\n") if self._known else b""
 
         def piece(x: str) -> bytes:
             """What stands for: a word with the space before it, a mark set apart, or a line feed with the word after it."""
@@ -109,7 +119,7 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self._odd(text):
+        if not self._known or self._odd(text):
             return self._plain(text)
         n, at, out = len(text), 0, []
         while n - at > 2 * self._block and (m := self._cut(text, at + self._block)):
@@ -122,7 +132,7 @@ class Encoder:
         return out[0] if len(out) == 1 else b"".join(out)
 
 
-def worker_encoder(path: str, remembered: int = 1_000_000) -> Encoder:
+def worker_encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """The worker process's own Encoder: what it remembers serves all tasks that the process runs."""
     import sys
     import types

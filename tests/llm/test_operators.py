@@ -179,7 +179,9 @@ def plain_targets(sizes, weights=(5, 2, 1), most=3):
         fixed |= {s: most * sizes[s] for s in over}
 
 
-def test_mixing(spark, docs, clashing):
+@pytest.mark.parametrize("bucket", [2, 1 << 14])
+def test_mixing(spark, docs, clashing, monkeypatch, bucket):
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
     rows = mixing.assign(docs).collect()
     sizes = Counter()
     count = lambda t: len(re.findall(mixing.WORD, t or ""))
@@ -192,6 +194,21 @@ def test_mixing(spark, docs, clashing):
         taken[r.source] += r.taken
         longest[r.source] = max(longest[r.source], r.size)
     assert len(rows) == len(documents()) and all(abs(taken[s] - want[s]) <= 2 * longest[s] for s in want)
+    # Positions invert the demand at the exact sum of all sizes that come before in the source's hash order.
+    line = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    for k, s in enumerate(names):
+        own = sorted((r for r in rows if r.source == s and r.copies), key=lambda r: r.position)
+        every = sum(r.size for r in rows if r.source == s)
+        a, b = line[k % 3]
+        demand = lambda t: a * t + (b - a) * t * t / 2
+        places = [demand(r.position) / demand(1) * r.target for r in own]
+        steps = {}  # equal rows share a place
+        for r, x in zip(own, places):
+            steps.setdefault(round(x, 6), 0)
+            steps[round(x, 6)] += r.size
+        if own and all(r.copies == own[0].copies for r in rows if r.source == s):
+            assert list(steps) == pytest.approx([sum(list(steps.values())[:i]) for i in range(len(steps))], abs=1e-3) and sum(steps.values()) == every
     again = mixing.assign(docs.repartition(5)).collect()
     key = lambda r: (str(r.doc_id), r.size, r.taken, r.position or -1)
     assert sorted(map(key, rows)) == sorted(map(key, again))
@@ -233,6 +250,31 @@ def test_encoder(encoded):
         assert np.frombuffer(e(t), "<u4").tolist() == encoded(t)
 
 
+def test_encoder_leaves_other_files_to_the_library(tmp_path):
+    """A vocabulary that normalises or splits in a way of its own gives the library's ids."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokens.vocabulary_path(), encoding="utf-8") as file:
+        told = json.load(file)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": told["pre_tokenizer"] | {"add_prefix_space": True}}):
+        path = tmp_path / "v.json"
+        path.write_text(json.dumps(told | change))
+        t, e = Tokenizer.from_file(str(path)), tokens.Encoder(str(path))
+        t.encode_special_tokens = True
+        for x in ("Harbor and Lantern", "a\n\nB  c", "ÄÖ 日本 X", ""):
+            assert np.frombuffer(e(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_flat_files_refuse_what_they_cannot_hold(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "harbor lantern")], "doc_id long, text string")
+    first = int(np.frombuffer(tokens.worker_encoder(tokens.vocabulary_path())("harbor"), "<u4")[0])
+    for end in (70_000, first):
+        with pytest.raises(Exception, match="doesn't fit 16 bits|is the id of a text's token"):
+            token_files.write_flat(docs, str(tmp_path / str(end)), end_id=end)
+
+
 @pytest.mark.parametrize("length,windows,parts", [(1024, 16, 3), (64, 2, 70)])
 def test_packing(docs, encoded, length, windows, parts):
     rows = packing.pack(docs.repartition(parts), length=length, windows=windows).collect()
