@@ -114,10 +114,28 @@ def ngrams(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(no_words())
 
 
+def run_keys(w: Column, n: int) -> Column:
+    """Two 64-bit hashes of each run of n words, in order; none if there are fewer. As good as the runs to tell them
+    apart, and of one size. w must be a materialised column (see barrier)."""
+    at = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
+    one = lambda i: F.struct(F.xxhash64(F.lit(1), F.slice(w, i, n)).alias("a"), F.xxhash64(F.lit(2), F.slice(w, i, n)).alias("b"))
+    return F.when(F.size(w) >= n, F.transform(at, one)).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
+
+
+def trigrams(w: Column) -> tuple[Column, Column]:
+    """Numbers of distinct and of all trigrams of the words. w must be a materialised column (see barrier)."""
+    return F.size(F.array_distinct(run_keys(w, 3))), F.greatest(F.size(w) - 2, F.lit(0))
+
+
 def repetition_ratio(w: Column) -> Column:
     """Distinct over all trigrams of the words; 1 under 12 words. w must be a materialised column (see barrier)."""
-    grams = ngrams(w, 3)
-    return F.when(F.size(w) < 12, 1.0).otherwise(F.size(F.array_distinct(grams)) / F.size(grams))
+    distinct, every = trigrams(w)
+    return F.when(F.size(w) < 12, 1.0).otherwise(distinct / F.greatest(every, F.lit(1)))
+
+
+def drawn(*parts: Column) -> Column:
+    """A number from 0 to 2**32 - 1 that depends on the parts only: the first 32 bits of the md5 of them, set apart by colons."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def shared_run(a: Column, b: Column) -> Column:

@@ -108,12 +108,18 @@ def backfill(rows: DataFrame, commit_files: DataFrame, key: str, activity: str =
 
 
 def bundles(rows: DataFrame, key: str, n: int, least: int, most: int, seed: int = 42) -> DataFrame:
-    """(bundle, key): n samples of least to most rows each, without replacement, by rank of a hash of seed, bundle
-    and row. Each partition keeps its own lowest ranks before the shuffle."""
-    ids = rows.select(key)
-    numbered = ids.sparkSession.range(n).select(F.col("id").alias("bundle"))
-    size = F.pmod(F.xxhash64(F.lit(seed), "bundle", F.lit("size")), F.lit(most - least + 1)) + least
-    every = ids.withColumn("bundle", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("bundle", F.col("bundle").cast("long"))
-    rank = F.row_number().over(Window.partitionBy("bundle").orderBy(F.xxhash64(F.lit(seed), "bundle", key), key))
-    drawn = every.withColumn("_rank", rank).filter(F.col("_rank") <= most)
-    return drawn.join(F.broadcast(numbered), "bundle").filter(F.col("_rank") <= size).select("bundle", key)
+    """(bundle, key): n samples of least to most rows each (all rows, if there are fewer), without replacement.
+
+    Rows are ranked once by a hash of seed and key. A bundle cuts the ranks into as many ranges as it has members and
+    takes a hashed rank of each, so only the rows that are drawn are ever joined to a bundle."""
+    from .corpus import cumulated
+
+    mark = F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary"))
+    ranked = cumulated(rows.select(key, mark.alias("_h")), "_h")
+    count = rows.count()
+    size = F.least(T.drawn(F.lit(seed), F.col("bundle"), F.lit("size")) % (most - least + 1) + least, F.lit(count))
+    numbered = rows.sparkSession.range(n).select(F.col("id").alias("bundle")).withColumn("_size", size).filter("_size > 0")
+    each = numbered.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1)))
+    low, high = F.floor(F.col("_j") * count / F.col("_size")), F.floor((F.col("_j") + 1) * count / F.col("_size"))
+    drawn = each.select("bundle", (low + T.drawn(F.lit(seed), F.col("bundle"), F.col("_j")) % (high - low)).alias("_before"))
+    return ranked.join(drawn, "_before").select("bundle", key)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.files import FILES
+from ..stage import staged
 from .activity import commits_of, shows_patches
 
 # Fixed value: prompts must equal those that digests were written for.
@@ -64,26 +65,26 @@ def has_commits(prompt: str | Column) -> Column:
     return F.element_at(F.split(T.col(prompt), "\n\n"), 1).contains("- ")
 
 
-def cumulated(df: DataFrame, order: str, weight: Column | None = None, buckets: int = 64, per_bucket: int = 100) -> DataFrame:
+def cumulated(df: DataFrame, order: str, weight: Column | None = None, rows_a_bucket: int = 1 << 20) -> DataFrame:
     """Adds _before: the sum of weight (1 a row if not given) of all rows earlier in order; nulls come first.
 
-    Rows are dealt into buckets between bounds taken from a sample of about per_bucket values for each; only the
-    buckets' sums go into one task. The bounds are fixed once, so a row's bucket is the same however often, and
-    in however many partitions, the plan runs. Rows of equal order share a bucket and are ranked in any order."""
-    n = df.count()
-    drawn = df.select(order).filter(F.col(order).isNotNull()).sample(min(1.0, buckets * per_bucket / max(n, 1)), seed=1)
-    values = sorted(r[0] for r in drawn.collect())
-    bounds = sorted({values[len(values) * k // buckets] for k in range(1, buckets)}) if values else []
-    kind = f"array<{dict(df.dtypes)[order]}>"
-    listed = F.array(*[F.lit(x) for x in bounds]).cast(kind)
-    bucket = F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(listed, lambda x: x <= F.col(order))))
-    dealt = df.withColumn("_b", bucket).withColumn("_w", F.lit(1) if weight is None else weight)
-    within = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy("_b").agg(F.sum("_w").alias("_n"))
-    base = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    local = dealt.withColumn("_l", F.coalesce(F.sum("_w").over(within), F.lit(0)))
-    out = local.join(F.broadcast(sums.select("_b", base.alias("_base"))), "_b")
-    return out.withColumn("_before", F.col("_base") + F.col("_l")).drop("_b", "_w", "_l", "_base")
+    Keys (the order, and a hash of the row for ties) are range-partitioned into buckets, more the more there are, and
+    staged, so a key's bucket stays what it is however often the plan runs. Only the buckets' sums go into one task;
+    the rows themselves are shuffled once, to their keys. Rows of equal order are ranked by the hash, equal rows in any order."""
+    kinds = dict(df.dtypes)
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if "map<" not in kinds[c] and "variant" not in kinds[c]])
+    rows = df.withColumn("_t", tie).withColumn("_w", F.lit(1) if weight is None else weight)
+    keys = staged(rows.groupBy(order, "_t").agg(F.sum("_w").alias("_n")), "keys")
+    parts = keys.count() // rows_a_bucket + 1
+    dealt = staged(keys.repartitionByRange(parts, order, "_t").withColumn("_b", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("_b").agg(F.sum("_n").alias("_all"))
+    base = F.coalesce(F.sum("_all").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = Window.partitionBy("_b").orderBy(order, "_t").rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.withColumn("_l", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    placed = local.join(F.broadcast(sums.select("_b", base.alias("_base"))), "_b").select(F.col(order).alias("_o"), F.col("_t").alias("_k"), (F.col("_base") + F.col("_l")).alias("_s"))
+    out = rows.join(placed, F.col(order).eqNullSafe(F.col("_o")) & (F.col("_t") == F.col("_k")))
+    equal = F.coalesce(F.sum("_w").over(Window.partitionBy("_o", "_k").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return out.withColumn("_before", F.col("_s") + equal).drop("_t", "_w", "_o", "_k", "_s")
 
 
 def split_every(df: DataFrame, order: str, every: int = 9, **how) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .corpus import cumulated
 from .scoring import score
 
 # Fixed values.
@@ -55,7 +56,7 @@ def truncate(digest: Column, share: float, salt: Column) -> Column:
 
 def drop_section(digest: Column, salt: Column) -> Column:
     pre, blocks = split_sections(digest)
-    victim = F.pmod(F.xxhash64(salt, F.lit("drop")), F.greatest(F.size(blocks), F.lit(1)))
+    victim = T.drawn(salt, F.lit("drop")) % F.greatest(F.size(blocks), F.lit(1))
     return F.when(F.size(blocks) == 0, digest).otherwise(_join(pre, F.flatten(F.filter(blocks, lambda b, i: i != victim))))
 
 
@@ -117,7 +118,7 @@ def strip_per_repo_header(digest: Column, salt: Column) -> Column:
 def word_soup(digest: Column, salt: Column, n: int = 14) -> Column:
     pre, blocks = split_sections(digest)
     words = F.array(*[F.lit(w) for w in SOUP])
-    pick = lambda i, k: F.element_at(words, (F.pmod(F.xxhash64(salt, i, k), F.lit(len(SOUP))) + 1).cast("int"))
+    pick = lambda i, k: F.element_at(words, (T.drawn(salt, i, k) % len(SOUP) + 1).cast("int"))
     soup = lambda i: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: pick(i, k)), " ")
     return _join(pre, F.flatten(F.transform(blocks, lambda b, i: F.array(F.element_at(b, 1), F.lit(""), soup(i), F.lit("")))))
 
@@ -128,7 +129,7 @@ def orphan_prose(digest: Column, salt: Column) -> Column:
 
 def shuffle_sections(digest: Column, salt: Column) -> Column:
     pre, blocks = split_sections(digest)
-    keyed = F.transform(blocks, lambda b, i: F.struct(F.xxhash64(salt, i).alias("k"), b.alias("b")))
+    keyed = F.transform(blocks, lambda b, i: F.struct(T.drawn(salt, i).alias("k"), i.alias("i"), b.alias("b")))
     return _join(pre, F.flatten(F.transform(F.array_sort(keyed), lambda x: x["b"])))
 
 
@@ -153,7 +154,7 @@ MUTATIONS: dict[str, tuple[str, Callable[[Column, Column], Column]]] = {
 def mutated(df: DataFrame, digest: str = "digest", seed: int = 0, names=tuple(MUTATIONS)) -> DataFrame:
     """df once for each mutation and once as it is (mutation `base`): mutation, tier and the mutated digest added or
     put in place. Choices are by hash of seed and digest, so a rerun makes the same. Undefined mutations give no row."""
-    d, salt = F.col(digest), F.xxhash64(F.lit(seed), F.col(digest))
+    d, salt = F.col(digest), F.md5(F.concat_ws(":", F.lit(seed), F.col(digest)).cast("binary"))
     made = [F.struct(F.lit("base").alias("m"), F.lit("base").alias("t"), d.alias("d"))]
     made += [F.struct(F.lit(n).alias("m"), F.lit(MUTATIONS[n][0]).alias("t"), MUTATIONS[n][1](d, salt).alias("d")) for n in names]
     keep = [c for c in df.columns if c != digest]
@@ -174,15 +175,19 @@ def deltas(df: DataFrame, key: str, digest: str = "digest", activity: str = "act
 
 
 def soup_digests(spark, activities: DataFrame, n: int = 300, seed: int = 0, activity: str = "activity") -> DataFrame:
-    """(sample, digest, activity): n well-formed digests of words that ground in nothing, over rows of activities
-    taken in turn by hash."""
+    """(sample, digest, activity): exactly n well-formed digests of words that ground in nothing, over rows of
+    activities taken in turn by hash; none if there is no row."""
     pool = F.array(*[F.lit(w) for w in SOUP + FILLER])
-    pick = lambda *k: F.element_at(pool, (F.pmod(F.xxhash64(F.lit(seed), *k), F.lit(len(SOUP + FILLER))) + 1).cast("int"))
-    many = lambda most, *k: F.pmod(F.xxhash64(F.lit(seed + 1), *k), F.lit(most + 1)).cast("int")
+    pick = lambda *k: F.element_at(pool, (T.drawn(F.lit(seed), *k) % len(SOUP + FILLER) + 1).cast("int"))
+    many = lambda most, *k: (T.drawn(F.lit(seed + 1), *k) % (most + 1)).cast("int")
     prose = lambda most, *k: F.when(many(most, *k) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(many(most, *k), F.lit(1))), lambda i: pick(i, *k)), " ")).otherwise("")
-    rows = activities.select(F.col(activity).alias("activity"), F.xxhash64(F.to_json(activity)).alias("_h"))
-    total = max(rows.count(), 1)
-    drawn = rows.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).filter(F.pmod(F.xxhash64("_h", "sample"), F.lit(total)) == 0)
+    rows = activities.select(F.col(activity).alias("activity"), F.md5(F.to_json(activity).cast("binary")).alias("_h"))
+    total = rows.count()
+    if not total:
+        n = 0
+    # Sample k takes record k mod total in hash order: a join of n rows, however many records there are.
+    samples = spark.range(n).select(F.col("id").cast("int").alias("sample"), (F.col("id") % max(total, 1)).alias("_before"))
+    drawn = cumulated(rows, "_h").join(samples, "_before")
     repo = lambda r: F.concat(F.lit("### "), r["repo"], F.lit("\n\n"), prose(25, F.col("sample"), r["repo"]))
     body = F.array_join(F.transform("activity", repo), "\n\n")
     digest = F.concat(F.lit("# Developer Journal\n\n## Summary\n\n"), prose(30, F.col("sample"), F.lit("s")), F.lit("\n\n## Per-Repo Activity\n\n"), body)

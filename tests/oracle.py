@@ -1,14 +1,32 @@
-"""A small scorer in plain Python, written from the rules and not from the engine, to compare the engine with."""
+"""A small scorer in plain Python to compare the engine with. It takes nothing from the engine: its values are its own."""
 
 import re
 
-from dayscribe.functions import files as ff
-from dayscribe.functions import text as tt
-
-W = re.compile(tt.WORD)
+# Fixed values, written out here as well: a wrong one in the engine shows.
+STOP = set(
+    """a an and are as at be been but by can did do does for from had has have how i in into is it its just like more new not of on or our out over should so
+    some such than that the their them then there these they this to up use used using was we were what when which while who will with would you your also
+    added fix fixed fixes update updated updates change changes changed name version private public main module modules scripts type types author engines
+    description dependencies devdependencies peerdependencies license""".split()
+)
+ENDINGS = "ing ies ed es s".split()
+CODE = set("js jsx ts tsx py go rs c h cpp hpp java kt kts svelte vue json yaml yml md css html xml sh toml sql rb php dart gradle cfg ini env proto".split())
+PRODUCTS = set("node.js vue.js react.js next.js nuxt.js d3.js three.js express.js socket.io chart.js vite.js llama.cpp".split())
+NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve".split()
+BANNED = ("next steps", "you should", "todo:", "as an ai")
+LOCKS = set(
+    """license license.md license.txt notice package-lock.json yarn.lock bun.lock bun.lockb pnpm-lock.yaml cargo.lock go.sum poetry.lock uv.lock gemfile.lock
+    composer.lock""".split()
+)
+BUILT = set("dist build node_modules vendor .venv target".split())
+SPARSE = 5
+# End of the fixed values.
+W = re.compile("[a-z0-9_]+")
 FILE = re.compile(r"\b[\w][\w/-]*\.([A-Za-z]{1,10})\b")
-CLAIM = re.compile(tt.COUNT_CLAIM.replace("(?iU)", "(?i)"))
-MODEL = re.compile(tt.MODEL_NAME.replace("(?iU)", "(?i)"))
+CLAIM = re.compile(rf"\b(\d{{1,3}}|{'|'.join(NUMBERS)})\s+(?:active\s+|git\s+)*(?:repos?|repositories?|projects?)\b", re.I)
+MODEL = re.compile(
+    r"\b(gpt(?:[- ]?\d[\w.]*)?|chatgpt|openai|anthropic|claude|gemini|bard|grok|mistral|deepseek|qwen(?:\d[\w.]*)?|gemma\d*|cohere|llama(?!\.?cpp))\b", re.I
+)
 
 
 def words(t):
@@ -17,14 +35,14 @@ def words(t):
 
 def stem(w):
     if len(w) > 4:
-        for s in tt.SUFFIXES:
+        for s in ENDINGS:
             if w.endswith(s):
                 return w[: -len(s)]
     return w
 
 
 def tokens(t):
-    return {stem(w) for w in words(t) if len(w) >= 3 and w not in tt.STOPWORDS}
+    return {stem(w) for w in words(t) if len(w) >= 3 and w not in STOP}
 
 
 def norm(r):
@@ -33,7 +51,7 @@ def norm(r):
 
 def low(name):
     *folders, base = name.lower().split("/")
-    return base in ff.BOILERPLATE or any(f in ff.GENERATED for f in folders) or base.endswith((".min.js", ".min.css", ".lock"))
+    return base in LOCKS or any(f in BUILT for f in folders) or base.endswith((".min.js", ".min.css", ".lock"))
 
 
 def sections(digest):
@@ -62,7 +80,7 @@ def sections(digest):
 
 
 def files(t):
-    return [m[0].lower().rsplit("/", 1)[-1] for m in FILE.finditer(t) if m[1].lower() in tt.CODE_EXTENSIONS]
+    return [m[0].lower().rsplit("/", 1)[-1] for m in FILE.finditer(t) if m[1].lower() in CODE]
 
 
 def grams(ws, n):
@@ -72,7 +90,7 @@ def grams(ws, n):
 def score(digest, activity, truncated=False, previous=None):
     """activity: list of (repo, commits)."""
     summary, secs = sections(digest)
-    patches = sum(len(c) for _, c in activity) <= ff.SPARSE_COMMITS
+    patches = sum(len(c) for _, c in activity) <= SPARSE
 
     def shown(c):
         out = [c.get("message") or ""]
@@ -114,10 +132,10 @@ def score(digest, activity, truncated=False, previous=None):
     everything = set().union(*surface.values(), *[words(r) for r, _ in activity])
     models = {m[0] for t in prose for m in MODEL.finditer(t)}
     models = {m for m in models if re.sub("[^a-z0-9]", "", m.lower()) not in everything and words(m)[0] not in everything}
-    claims = [tt.NUMBERS.index(x) if (x := m[1].lower()) in tt.NUMBERS else int(x) for t in prose for m in CLAIM.finditer(t)]
+    claims = [NUMBERS.index(x) if (x := m[1].lower()) in NUMBERS else int(x) for t in prose for m in CLAIM.finditer(t)]
     names = [n for n, _ in secs]
-    p = 0.5 * sum(b in digest.lower() for b in tt.BANNED)
-    p += min(0.5, 0.3 * sum(m not in tt.NOT_FILES and m not in real for t in prose for m in files(t)))
+    p = 0.5 * sum(b in digest.lower() for b in BANNED)
+    p += min(0.5, 0.3 * sum(m not in PRODUCTS and m not in real for t in prose for m in files(t)))
     p += min(0.5, 0.3 * len(models)) + min(0.5, 0.3 * sum(k != len(activity) for k in claims))
     p += 0.5 * (len(set(names)) < len(names)) + min(0.75, 0.35 * sum(h not in firsts for h in headers))
     sets = [tokens(b) for _, b in secs]
@@ -127,7 +145,7 @@ def score(digest, activity, truncated=False, previous=None):
     for name, body in secs:
         run = next((x for x in grams(words(body), 10) if x in runs), None)
         if run:
-            content = [w for w in run.split() if len(w) >= 3 and w not in tt.STOPWORDS]
+            content = [w for w in run.split() if len(w) >= 3 and w not in STOP]
             own = firsts.get(norm(name))
             if not (own and content and all(w in surface[own[0]] for w in content)):
                 p += 0.3

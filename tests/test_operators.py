@@ -78,6 +78,10 @@ def test_merge_backfill_bundles(spark):
     picked = activity.bundles(spark.range(40).withColumnRenamed("id", "row"), "row", 6, 3, 5)
     sizes = {r.bundle: r["count"] for r in picked.groupBy("bundle").count().collect()}
     assert len(sizes) == 6 and all(3 <= n <= 5 for n in sizes.values()) and picked.distinct().count() == picked.count()
+    few = activity.bundles(spark.range(2).withColumnRenamed("id", "row"), "row", 4, 3, 5).groupBy("bundle").count().collect()
+    assert [r["count"] for r in few] == [2] * 4 and activity.bundles(spark.range(0).withColumnRenamed("id", "row"), "row", 4, 3, 5).count() == 0
+    drawn = activity.bundles(spark.range(100).withColumnRenamed("id", "row"), "row", 300, 2, 5).groupBy("row").count().collect()
+    assert len(drawn) > 95 and max(r["count"] for r in drawn) < 40  # spread over all rows
 
 
 def test_split_ranks_every_row(spark):
@@ -167,8 +171,8 @@ def test_split_counts_all_rows_in_order(spark):
     """Whatever the partitions, the other columns and the buckets; ties and nulls count."""
     names = [None] + [f"n{k % 700:04d}" for k in range(1000)]
     df = spark.createDataFrame([(n, "x" * (k % 50)) for k, n in enumerate(names)], "name string, more string").repartition(7)
-    for buckets in (1, 5, 64):
-        got = corpus.split_every(df, "name", 9, buckets=buckets, per_bucket=10)
+    for rows_a_bucket in (7, 300, 1 << 20):
+        got = corpus.split_every(df, "name", 9, rows_a_bucket=rows_a_bucket)
         assert got.columns == ["name", "more", "split"] and got.count() == 1001
         evals = sorted((r.name or "" for r in got.filter("split = 'eval'").collect()))
         assert evals == sorted(n or "" for n in names)[::9]

@@ -7,11 +7,13 @@ from dayscribe.functions import text as T
 from dayscribe.operators import activity, mutate, report, scoring, sections
 
 from . import oracle
-from .fixtures import ACTIVITY, GOOD, LONG, VARIANTS
+from .fixtures import ACTIVITY, GOOD, LONG, ODD, VARIANTS
 
+#: Records that lack this or that: no repositories, no name, no commits, commits and files without a field, names that meet.
 RECORDS = [
-    ACTIVITY, [], [("", [])], [("a/b", None)], [("a/b", [{}]), ("a/c", [{"sha": "1", "message": "ok", "files": [{}]}])],
-    [("x/harbor", [{"message": "one"}]), ("y/harbor", [{"message": "tide tables"}] * 6)],
+    ACTIVITY, [], [("", None)], [("sea/buoy", None)], [("sea/buoy", []), ("", [{"message": None}])],
+    [("sea/buoy", [{"url": "u"}, {"sha": "9f", "files": [{"additions": 4}, {"filename": "", "patch": "+x"}, {"filename": " Kelp/Map.RS "}]}])],
+    [("old/buoy", [{"message": "moor"}]), ("new/Buoy", [{"message": "frozen tide readings"}] * 7)],
 ]
 
 
@@ -65,6 +67,37 @@ def test_lexical_functions(spark):
     assert [r[0] for r in stems] == ["librar", "clas", "us", "bus"]
 
 
+def test_odd_inputs_score_within_bounds(spark):
+    """Every odd digest with every record, and every mutation of them: a score from 0 to 1, the plain one."""
+    rows = [(k, d, r) for k, (d, r) in enumerate((d, r) for r in RECORDS for d in [*ODD, GOOD])]
+    df = frame(spark, rows)
+    made = mutate.mutated(df).collect()
+    assert len({(r.id, r.mutation) for r in made}) == len(made) and {r.mutation for r in made} == {"base", *mutate.MUTATIONS}
+    got = scoring.score(mutate.mutated(df)).collect()
+    of = {k: r for k, _, r in rows}
+    for r in got:
+        want = oracle.score(r.digest, [(x, c or []) for x, c in of[r.id]])[4]
+        assert 0 <= r.total <= 1 and r.total == pytest.approx(want, abs=1e-9), (r.id, r.mutation)
+
+
+def test_mutation_deltas_equal_the_plain_ones(spark):
+    """The report over several digests, each change against the plain scorer's."""
+    rows = [(k, d, ACTIVITY) for k, d in enumerate((GOOD, GOOD.replace("### lantern", "### ghost"), GOOD + "\n\nnode.js and three repos"))]
+    df = frame(spark, rows)
+    plain = lambda d: oracle.score(d, ACTIVITY)[4]
+    base, tiers = {k: plain(d) for k, d, _ in rows}, {n: t for n, (t, _) in mutate.MUTATIONS.items()}
+    want = {}
+    for r in mutate.mutated(df).filter("mutation <> 'base'").collect():
+        delta = plain(r.digest) - base[r.id]
+        bad = {"must_cost": delta > -0.02, "must_not_pay": delta > 0.02, "neutral": abs(delta) > 0.05}[tiers[r.mutation]]
+        want.setdefault(r.mutation, []).append((delta, bad))
+    table = {r.mutation: r for r in report.mutation_report(mutate.deltas(df, "id")).collect()}
+    assert set(table) == set(want)
+    for name, each in want.items():
+        r, d = table[name], [x for x, _ in each]
+        assert (r.mean_delta, r.min_delta, r.max_delta) == pytest.approx((sum(d) / len(d), min(d), max(d)), abs=1e-9) and r.violations == sum(b for _, b in each)
+
+
 def test_mutations_cost(spark):
     out = mutate.deltas(frame(spark, [(0, GOOD, ACTIVITY)]), "id")
     got = {r.mutation: r for r in out.collect()}
@@ -77,8 +110,17 @@ def test_mutations_cost(spark):
     assert [r.mutation for r in undefined.collect()] == ["base"]
 
 
-def test_soup_stays_low(spark):
-    soup = mutate.soup_digests(spark, frame(spark, [(0, GOOD, ACTIVITY)]), 60)
-    assert soup.count() == 60
-    top = report.ceiling_check(scoring.score(soup)).first()
-    assert top.highest <= 0.55 and top.over == 0
+@pytest.mark.parametrize("n,records", [(300, 1), (60, 7), (5, 7), (0, 7), (9, 0)])
+def test_soup_stays_low(spark, n, records):
+    """Exactly n samples over the records in turn, the same on a rerun, and none over the ceiling."""
+    rows = [(k, GOOD, [(f"sea/{k}", [{"message": f"moor {k}"}]), *ACTIVITY]) for k in range(records)]
+    df = frame(spark, rows or [(0, GOOD, ACTIVITY)]).filter(f"id < {records}")
+    soup = mutate.soup_digests(spark, df, n)
+    found = soup.collect()
+    assert sorted(r.sample for r in found) == list(range(n if records else 0))
+    assert sorted(map(str, found)) == sorted(map(str, mutate.soup_digests(spark, df.repartition(3), n).collect()))
+    if records and n:
+        used = [r.activity[0].repo for r in found]
+        assert max(map(used.count, used)) <= -(-n // records) and len(set(used)) == min(n, records)
+        top = report.ceiling_check(scoring.score(soup)).first()
+        assert top.highest <= 0.55 and top.over == 0
