@@ -1,36 +1,11 @@
-"""Helpers shared by the operators: staging in the shared folder, column names, components."""
+"""Helpers shared by the operators: column names, components, and the library's staging."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is configured, a temporary one if all run on this
-    machine; on a cluster that is an error, since executors wouldn't see it."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    own = sc._jsc.sc().getCheckpointDir()
-    if own.isEmpty():
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="dayscribe-"))
-        own = sc._jsc.sc().getCheckpointDir()
-    return own.get().rstrip("/")
-
-
-def staged(df: DataFrame, name: str = "stage", **options: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..stage import shared_dir, spread_join, staged  # noqa: F401
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -49,17 +24,6 @@ def clean_text(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-def spread_join(rows: DataFrame, per_key: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
-    """rows joined with per_key, a row a key (without nulls) with the number of its rows in column count, which is dropped.
-
-    Keys of over a thousandth of all rows (total) are broadcast: there are fewer than a thousand. The others are
-    joined by an ordinary shuffle, so no task gets more than a thousandth for one key."""
-    hot = F.col(count) > max(64, total // 1000)
-    named = F.broadcast(per_key.filter(hot).drop(count))
-    rest = rows.join(named.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(per_key.filter(~hot).drop(count), key)
-    return rows.join(named, key).unionByName(rest)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): (node, component), component being the smallest node.
 

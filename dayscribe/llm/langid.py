@@ -17,21 +17,21 @@ from pyspark.sql import functions as F
 
 #: Bounds of the labelled sample: characters a language, of one document, and languages, those with the most text.
 SAMPLE, EXCERPT, LANGUAGES = 60_000, 3_000, 256
-#: Texts still being parsed below which the rest is parsed one by one: steps over few texts cost as much as over many.
-FEW = 24
+#: Texts are parsed in stretches of so many symbols, many stretches at a time, and put together exactly.
+WIDTH = 256
 
 
 @dataclass
 class Model:
-    """Suffix automata of the languages in one table. A state's transition by symbol c is at base[state] + c if owner
-    there is the state. State 0 has none: a parse starts there, and again after a symbol that a language doesn't have."""
+    """Suffix automata of the languages in one table, a state being a number of its own. Its transition by symbol c is
+    at cell[state + c]: the state in the upper half, where it leads in the lower one; another state there says
+    that there is none. From start there is none at all: a parse begins there, and again after a symbol that a language doesn't have."""
 
     langs: list[str]
     letters: dict[str, int]
     lengths: list[int]
-    base: object = None
-    owner: object = None
-    target: object = None
+    start: int = 0
+    cell: object = None
     first: object = None  # by symbol and language: the state after a phrase's first symbol
 
 
@@ -66,33 +66,52 @@ def _automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 def _packed(steps: list[list[dict]], symbols: int):
-    """base, owner, target of all automata: states with several transitions are laid out first, each at the first place
-    from a spot of its own on where its symbols fall on free slots; those with one fill what is left."""
+    """(start, cell, first) of all automata. States with several transitions are laid out first, each at the first number
+    from a spot of its own on that no state has and with which its symbols fall on free cells; those with one fill what is left."""
     import numpy as np
 
-    roots = np.cumsum([1, *[len(s) for s in steps]])[:-1]
-    own = [(root + k, root, sorted(to.items())) for root, step in zip(roots.tolist(), steps) for k, to in enumerate(step)]
-    many = sorted((x for x in own if len(x[2]) > 1), key=lambda x: (-len(x[2]), x[0]))
-    edges = sum(len(x[2]) for x in own)
-    size = edges + edges // 4 + 2 * symbols + 2
-    owner, target = np.full(size, -1, np.int32), np.zeros(size, np.int32)
-    base = np.full(1 + sum(map(len, steps)), symbols + 1, np.int64)  # without transitions: any place, owned by others
-    taken, span = bytearray(size), edges + edges // 4 + 1
-    for state, root, to in many:
-        at = state * 2654435761 % span
-        while any(taken[at + c] for c, _ in to):
-            at = at + 1 if at < span else 0
-        base[state] = at
-        for c, t in to:
-            taken[at + c], owner[at + c], target[at + c] = 1, state, t + root
-    one = [(state, *to[0], root) for state, root, to in own if len(to) == 1]
-    if one:
-        state, c, t, root = (np.array(x, np.int64) for x in zip(*one))
-        free = np.flatnonzero(np.frombuffer(bytes(taken), np.uint8) == 0)
-        free = free[free >= symbols][: len(one)]
-        base[state] = free - c
-        owner[free], target[free] = state, t + root
-    return roots, base.astype(np.int32), owner, target
+    edges = sum(len(to) for step in steps for to in step)
+    span = edges + edges // 4 + 1
+    start = span + symbols  # its cells are nobody's
+    taken, used = bytearray(start + symbols + 1), bytearray(start + symbols + 1)
+    numbers = [[0] * len(step) for step in steps]
+    many = sorted(((k, i, to) for k, step in enumerate(steps) for i, to in enumerate(step) if len(to) > 1), key=lambda x: (-len(x[2]), x[0], x[1]))
+    for k, i, to in many:
+        at = (k * 40_503 + i) * 2654435761 % span
+        while used[at] or any(taken[at + c] for c in to):
+            at = at + 1 if at < span - 1 else 0
+        used[at], numbers[k][i] = 1, at
+        for c in to:
+            taken[at + c] = 1
+    free, aside, slot = iter(range(symbols, start)), [], 0
+    for k, step in enumerate(steps):
+        for i, to in enumerate(step):
+            if len(to) == 1:
+                (c,) = to
+                found = next((x for x in aside[-8:] if not used[x - c]), None)
+                if found is not None:
+                    aside.remove(found)
+                else:
+                    while (found := next(free, None)) is not None and (taken[found] or used[found - c]):
+                        if not taken[found]:
+                            aside.append(found)
+                    if found is None:
+                        found = next(x for x in range(symbols, start + symbols) if not taken[x] and not used[x - c])
+                taken[found], used[found - c], numbers[k][i] = 1, 1, found - c
+    for k, step in enumerate(steps):
+        for i, to in enumerate(step):
+            if not to:
+                slot = next(x for x in range(slot, start) if not used[x])
+                used[slot], numbers[k][i] = 1, slot
+    cell = np.full(start + symbols + 1, -1 << 32, np.int64)
+    for own, step in zip(numbers, steps):
+        flat = np.array([(own[i] + c, own[i], own[t]) for i, to in enumerate(step) for c, t in to.items()], np.int64).reshape(-1, 3)
+        cell[flat[:, 0]] = flat[:, 1] << 32 | flat[:, 2]
+    first = np.full((symbols, len(steps)), start, np.int64)
+    for k, (own, step) in enumerate(zip(numbers, steps)):
+        for c, t in step[0].items():
+            first[c, k] = own[t]
+    return start, cell, first
 
 
 def _symbol_table(letters: dict[str, int]):
@@ -154,67 +173,120 @@ def fit(rows: list[tuple[str, str]], chars: int = SAMPLE) -> Model:
             model.langs.append(lang)
             model.lengths.append(len(s))
             steps.append(_automaton(s.tolist()))
-    symbols = len(known) + 2
-    roots, model.base, model.owner, model.target = _packed(steps, symbols)
-    model.first = np.zeros((symbols, len(steps)), np.int32)
-    for k, (root, step) in enumerate(zip(roots, steps)):
-        for c, t in step[0].items():
-            model.first[c, k] = root + t
+    model.start, model.cell, model.first = _packed(steps, len(known) + 2)
     return model
 
 
 class Parser:
-    """Counts the phrases of texts under each of a model's languages, all languages and many texts in lockstep."""
+    """Counts the phrases of texts under each of a model's languages, all languages and many stretches in lockstep."""
 
     def __init__(self, model: Model):
         self.model, self.table = model, _symbol_table(model.letters)
 
+    def _step(self, state, c, lang=None):
+        """The next states by symbols c, and which of them begin a phrase. state: by place and language, or lang names each one's."""
+        import numpy as np
+
+        m = self.model
+        cell = m.cell.take(state + (c[:, None] if lang is None else c))
+        miss = (cell >> 32) != state
+        first = m.first.take(c, 0) if lang is None else m.first[c, lang]
+        return np.where(miss, first, cell & 0xFFFFFFFF), miss
+
     def phrases(self, texts: list[str]):
         """The number of phrases of each text under each language, the number of symbols, and whether it has a letter.
 
-        A phrase is the longest match from where the last one ended; a symbol that a language doesn't have is one of its own."""
+        A phrase is the longest match from where the last one ended; a symbol that a language doesn't have is one of its
+        own. Stretches are parsed as if a phrase began with each. Then the phrase that a stretch before was in is carried on
+        until a phrase of both ways begins at one place: from there on they are the same. A parse that never meets the
+        stretch's own is carried through as many stretches as it takes."""
         import numpy as np
 
-        m = self.model
         s, lengths = _symbols(texts, self.table)
         letters = lengths > 0
         if letters.any():
             letters[letters] = np.add.reduceat(s != 0, (np.cumsum(lengths) - lengths)[letters], dtype=np.int64) > 0
-        order = np.argsort(-lengths, kind="stable")
-        at, left = (np.cumsum(lengths) - lengths)[order], lengths[order]
-        counts = np.zeros((len(texts), len(m.langs)), np.int32)
-        state = np.zeros((len(texts), len(m.langs)), np.int64)
-        active, t = int((left > 0).sum()), 0
-        ends = -left  # ascending
-        while active > FEW:
-            # All texts that are still active have at least this many symbols left.
-            for _ in range(int(left[active - 1]) - t):
-                c = s.take(at[:active] + t).astype(np.int64)
-                now = state[:active]
-                slot = m.base.take(now) + c[:, None]
-                miss = m.owner.take(slot) != now
-                counts[:active] += miss
-                state[:active] = np.where(miss, m.first.take(c, 0), m.target.take(slot))
-                t += 1
+        k, width = len(self.model.langs), WIDTH
+        stretches = -(-lengths // width)
+        of = np.repeat(np.arange(len(texts)), stretches)
+        within = np.arange(len(of)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
+        at = (np.cumsum(lengths) - lengths)[of] + within * width
+        left = np.minimum(width, lengths[of] - within * width)
+        counts = np.zeros((len(texts), k), np.int64)
+        carried = np.full(k, self.model.start, np.int64)
+        some = max(64, (1 << 24) // (width * k))
+        for begin in range(0, len(of), some):
+            own = slice(begin, begin + some)
+            found, carried = self._run(s, at[own], left[own], within[own] > 0, carried)
+            np.add.at(counts, of[own], found)
+        return counts.T, lengths, letters
+
+    def _run(self, s, at, left, goes_on, carried):
+        """Phrases that begin in each of consecutive stretches, by language, and the states after the last of them."""
+        import numpy as np
+
+        n, k = len(at), len(self.model.langs)
+        order = np.argsort(-left, kind="stable")
+        begins = np.zeros((WIDTH, n, k), bool)
+        state = np.full((n, k), self.model.start, np.int64)
+        sorted_at, ends = at[order], -left[order]
+        for t in range(int(left.max())):
             active = int(np.searchsorted(ends, -t))
-        if active:
-            base, owner, target = memoryview(m.base), memoryview(m.owner), memoryview(m.target)
-            first = m.first.T.copy()
-            for i in range(active):
-                for begin in range(int(at[i]) + t, int(at[i] + left[i]), 1 << 20):
-                    rest = s[begin : min(begin + (1 << 20), at[i] + left[i])].tolist()
-                    for k in range(len(m.langs)):
-                        start, now, n = memoryview(first[k]), int(state[i, k]), 0
-                        for c in rest:
-                            slot = base[now] + c
-                            if owner[slot] == now:
-                                now = target[slot]
-                            else:
-                                now, n = start[c], n + 1
-                        state[i, k], counts[i, k] = now, counts[i, k] + n
-        out = np.empty_like(counts)
-        out[order] = counts
-        return out.T, lengths, letters
+            state[:active], begins[t, :active] = self._step(state[:active], s.take(sorted_at[:active] + t).astype(np.int64))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        begins, exits = begins[:, place], state[place]
+        counts = begins.sum(0)
+        # Each stretch anew from where the one before left off, until both ways begin a phrase at one place.
+        i, lang = (x.ravel() for x in np.meshgrid(np.flatnonzero(goes_on), np.arange(k), indexing="ij"))
+        now = np.vstack([carried[None], exits[:-1]])[i, lang]
+        new, old = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+        lost = []
+        for t in range(WIDTH):
+            done = left[i] <= t
+            if done.any():
+                # At the end of a text there is nothing to meet; else the next stretch begins in a state not known yet.
+                counts[i[done], lang[done]] += new[done] - old[done]
+                i, lang, now, new, old = (x[~done] for x in (i, lang, now, new, old))
+            if not len(i):
+                break
+            now, miss = self._step(now, s.take(at[i] + t).astype(np.int64), lang)
+            mine = begins[t, i, lang]
+            new, old = new + miss, old + mine
+            met = miss & mine
+            if met.any():
+                counts[i[met], lang[met]] += new[met] - old[met]
+                i, lang, now, new, old = (x[~met] for x in (i, lang, now, new, old))
+        counts[i, lang] += new - old
+        whole = left[i] == WIDTH
+        lost = sorted(zip(lang[whole].tolist(), i[whole].tolist(), now[whole].tolist()))
+        cell = memoryview(self.model.cell)
+        seen = (-1, -1)
+        for q, j, here in lost:
+            if (q, j) <= seen:
+                continue  # carried through already
+            first = memoryview(np.ascontiguousarray(self.model.first[:, q]))
+            # Through the stretches after it, until both ways meet or the text ends.
+            while True:
+                exits[j, q], seen = here, (q, j)
+                j += 1
+                if j == n or not goes_on[j]:
+                    break
+                total, met = 0, False
+                for t, c in enumerate(s[at[j] : at[j] + left[j]].tolist()):
+                    found = cell[here + c]
+                    if found >> 32 == here:
+                        here = found & 0xFFFFFFFF
+                        continue
+                    here, total = first[c], total + 1
+                    if begins[t, j, q]:
+                        met = True
+                        break
+                counts[j, q] = total + int(begins[t + 1 :, j, q].sum()) if met else total
+                if met:
+                    seen = (q, j)
+                    break
+        return counts, exits[-1]
 
     def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
         """(lang, score) of each text: `und` and 0 without letters. Of equal languages the first by name wins."""

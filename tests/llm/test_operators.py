@@ -434,12 +434,14 @@ def test_language_sample_is_bounded(spark):
     assert 50 < len(rows) and sum(len(t) for _, t in rows) < 240_000
 
 
-@pytest.mark.parametrize("few", [0, 3, 10**6])
-def test_cross_parsing_counts_longest_matches(monkeypatch, few):
-    """Every count of Parser against longest matches looked up in the training text, also of texts in lockstep or alone."""
+@pytest.mark.parametrize("width,some", [(256, 1 << 24), (4, 1 << 24), (1, 1 << 24), (7, 1)])
+def test_cross_parsing_counts_longest_matches(monkeypatch, width, some):
+    """Every count of Parser against longest matches looked up in the training text, whatever stretches texts are parsed in."""
     import random
 
-    monkeypatch.setattr(langid, "FEW", few)
+    monkeypatch.setattr(langid, "WIDTH", width)
+    if some == 1:  # few stretches a run
+        monkeypatch.setattr("builtins.max", lambda *x, _max=max, **how: 5 if x[0] == 64 and len(x) == 2 else _max(*x, **how))
     r = random.Random(6)
     scripts = {"aa": "abcdeé", "bb": "абвгд", "cc": "abxyz", "dd": "日本語学校"}
     speak = lambda own, n: "".join(r.choice(own + " .") for _ in range(n))
@@ -459,7 +461,7 @@ def test_cross_parsing_counts_longest_matches(monkeypatch, few):
             at, n = at + k, n + 1
         return n
 
-    texts = [speak(r.choice(list(scripts.values())) + r.choice(["", "q", "Ω1"]), r.choice([0, 1, 2, 30, 400])) for _ in range(60)] + ["", "  ", "x" * 50, "Q"]
+    texts = [speak(r.choice(list(scripts.values())) + r.choice(["", "q", "Ω1"]), r.choice([0, 1, 2, 30, 400])) for _ in range(60)] + ["", "  ", "x" * 50, "Q", "a" * 300, "ab" * 200, "日本" * 90]
     counts, lengths, letters = parse.phrases(texts)
     for k, t in enumerate(texts):
         assert lengths[k] == len(plain(t)) and letters[k] == any(c.isalpha() for c in t)
@@ -478,7 +480,7 @@ def test_many_scripts_are_told_apart():
     model = langid.fit([(lang, speak(lang)) for lang in own for _ in range(40)])
     texts = [(lang, speak(lang)) for lang in own for _ in range(20)]
     assert [x for x, _ in langid.Parser(model)([t for _, t in texts])] == [lang for lang, _ in texts]
-    bytes_a_language = (model.base.nbytes + model.owner.nbytes + model.target.nbytes + model.first.nbytes) / len(own)
+    bytes_a_language = (model.cell.nbytes + model.first.nbytes) / len(own)
     assert bytes_a_language < 2 << 20
 
 
