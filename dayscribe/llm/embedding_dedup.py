@@ -146,13 +146,14 @@ def _compare(basis, threshold: float, lead: int):
     return run
 
 
-def near_duplicates(vectors: DataFrame, vec: str = "embedding", label: str = "label", id_col: str = "vec_id", threshold: float = 0.98, tile: int = TILE, grid: int = 2) -> DataFrame:
+def near_duplicates(vectors: DataFrame, vec: str = "embedding", label: str = "label", id_col: str = "vec_id", threshold: float = 0.98, tile: int = TILE, grid: int | None = None) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links (others of the same label with cosine >= threshold),
     component_id (smallest vec_id reachable, itself included), kept (vec_id = component_id).
 
     A null label, and a vector that is null, empty, zero or holds a null or non-finite component, links with
     nothing. Vectors of another length than the label's others link with nothing of that length. Equal vectors
-    (by two 64-bit hashes) are compared once and counted as many. Work within a label grows with the square of its
+    (by two 64-bit hashes) are compared once and counted as many. grid is the number of components by which large labels
+    are cut into cells: more, the more tiles a label has, if it isn't given. Work within a label grows with the square of its
     size, less what tiles and bounds skip. An empty table gives none.
     """
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
@@ -171,9 +172,11 @@ def near_duplicates(vectors: DataFrame, vec: str = "embedding", label: str = "la
     found = [staged(groups.groupBy("label", "size").applyInArrow(_compare(None, threshold, LEAD), out), "links")]
     wide = sized.filter(F.col("n") * F.col("size") > 2 * tile)
     reach = (2 - 2 * threshold) ** 0.5 + SLACK
-    for (size,) in sorted(wide.select("size").distinct().collect()):
+    for size, most in sorted(wide.groupBy("size").agg(F.max("n")).collect()):
+        tiles = most * size // tile
+        steps = grid or (2 if tiles < 64 else 3 if tiles < 4096 else 4)
         own = distinct.filter(F.col("size") == size).join(wide.select("label", "size"), ["label", "size"], "left_semi")
-        found.append(_tiled(own, dict(vectors.dtypes)[label], size, threshold, reach, max(2, tile // size), min(grid, size)))
+        found.append(_tiled(own, dict(vectors.dtypes)[label], size, threshold, reach, max(2, tile // size), min(steps, size)))
     per_rep = found[0]
     for more in found[1:]:
         per_rep = per_rep.unionByName(more)
