@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import clean_text, fresh, staged
 
 #: Hash order is cut into buckets of about this many rows, a power of two of them; cumulated sizes are exact within and across them.
-BUCKET = 1 << 14
+BUCKET = 1 << 10
 #: The plan, a row a source and bucket, is broadcast up to this many rows (about 20 MB), and joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,8 +63,13 @@ def plan(narrow: DataFrame, weights=(5, 2, 1), repeats: float = 3.0, schedule=((
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     passes = F.least(F.floor(ratio + 1e-9), F.lit(int(repeats))).cast("int")
     aimed = aimed.withColumn("passes", passes).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size")))
-    own = Window.partitionBy("none", "source").orderBy("bucket")
-    placed = cells.withColumn("before", F.sum("tokens").over(own) - F.col("tokens")).drop("tokens").join(aimed, ["none", "source"])
+    # Sums before a bucket: of the runs of buckets before its own, and of the buckets before it in its run.
+    high = F.shiftright("bucket", (bits + 1) // 2).alias("high")
+    runs = cells.groupBy("none", "source", high).agg(F.sum("tokens").alias("all"))
+    runs = runs.withColumn("below", F.sum("all").over(Window.partitionBy("none", "source").orderBy("high")) - F.col("all")).drop("all")
+    own = Window.partitionBy("none", "source", "high").orderBy("bucket")
+    placed = cells.withColumn("high", high).withColumn("within", F.sum("tokens").over(own) - F.col("tokens")).join(runs, ["none", "source", "high"])
+    placed = placed.withColumn("before", F.col("below") + F.col("within")).drop("tokens", "high", "below", "within").join(aimed, ["none", "source"])
     start = F.element_at(F.array(*[F.lit(float(a)) for a, _ in schedule]), (F.col("rank") % len(schedule) + 1).cast("int"))
     end = F.element_at(F.array(*[F.lit(float(b)) for _, b in schedule]), (F.col("rank") % len(schedule) + 1).cast("int"))
     planned = staged(placed.withColumn("start", start).withColumn("end", end).drop("rank", "weight"), "mix")
