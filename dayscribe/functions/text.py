@@ -114,11 +114,9 @@ def ngrams(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(no_words())
 
 
-def run_keys(w: Column, n: int, seed: int = 1) -> Column:
-    """A 64-bit hash of each run of n words, in order; none if there are fewer. Two seeds together are as good as the
-    runs to tell them apart, and of one size. w must be a materialised column (see barrier)."""
-    at = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
-    return F.when(F.size(w) >= n, F.transform(at, lambda i: F.xxhash64(F.lit(seed), F.slice(w, i, n)))).otherwise(F.array().cast("array<bigint>"))
+def run_keys(w: Column, n: int) -> Column:
+    """A 64-bit hash of each run of n words, in order; none if there are fewer. w must be a materialised column (see barrier)."""
+    return F.transform(ngrams(w, n), lambda g: F.xxhash64(g))
 
 
 def trigrams(w: Column) -> tuple[Column, Column]:
