@@ -111,12 +111,12 @@ ORACLE_SQL = {
                doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
         from documents window same as (partition by coalesce(text, ''))""",
     "op3_embedding_near_dedup": """
-        with recursive v as (
-          select vec_id, label, embedding::double[] as e from embeddings
-          where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
-        l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+        with recursive t as (select *, row_number() over (order by vec_id) as row from embeddings),
+        v as (select row, label, embedding::double[] as e from t
+              where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l as (select a.row as a, b.row as b from v a join v b on a.label = b.label and a.row <> b.row
               where case when len(a.e) = len(b.e) then list_cosine_similarity(a.e, b.e) >= 0.98 else false end),
-        r as (select vec_id as n, vec_id as c from embeddings union select l.b, r.c from r join l on l.a = r.n where r.c < l.b)
-        select e.vec_id, (select count(*) from l where l.a = e.vec_id) as n_links, r.c as component_id, e.vec_id = r.c as kept
-        from embeddings e join (select n, min(c) as c from r group by n) r on r.n = e.vec_id""",
+        r as (select row as n, row as c from t union select l.b, r.c from r join l on l.a = r.n where r.c < l.b)
+        select e.vec_id, (select count(*) from l where l.a = e.row) as n_links, o.vec_id as component_id, e.vec_id = o.vec_id as kept
+        from t e join (select n, min(c) as c from r group by n) m on m.n = e.row join t o on o.row = m.c""",
 }

@@ -41,7 +41,7 @@ def test_query_equals_sql(spark, name, tmp_path):
     """On the driver's smallest tables, and for vectors on the tests' own, which hold links."""
     import duckdb
 
-    fixture = spark.createDataFrame([r for r in vectors() if r[0] < 310], "vec_id long, embedding array<double>, label int")
+    fixture = spark.createDataFrame([r for r in vectors() if r[0] is not None and r[0] < 310], "vec_id long, embedding array<double>, label int")
     fixture.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
     for folder in [SF, str(tmp_path)] if name.startswith("op3") else [SF]:
         con = duckdb.connect()
