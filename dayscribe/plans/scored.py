@@ -237,7 +237,7 @@ def scored(of: str) -> str:
     li as (select x.k, bool_or(len(list_intersect(x.tok, y.tok)) / len(list_distinct(list_concat(x.tok, y.tok))) > {d("0.6")}) as alike
            from xs x join xs y on x.k = y.k and x.pos < y.pos where len(x.tok) >= 6 and len(y.tok) >= 6 group by x.k),
     er as (select xs.k, xs.conv_id, xs.norm, string_split(list_filter(xs.runs, lambda g: list_contains(st.runs, g))[1], ' ') as run from xs join st on st.k = xs.k where list_has_any(xs.runs, st.runs)),
-    ec as (select k, bool_or(not coalesce(len(list_filter(run, lambda w: {_CONTENT})) > 0 and len(list_filter(run, lambda w: {_CONTENT} and not list_contains(rp.cw, w))) = 0, false)) as echo
+    ec as (select k, bool_or(not coalesce(len(list_filter(run, lambda w: {_CONTENT})) > 0 and len(list_filter(run, lambda w: {_CONTENT} and not list_contains(coalesce(rp.cw, []), w))) = 0, false)) as echo
            from er left join rp on rp.conv_id = er.conv_id and rp.norm = er.norm and rp.nth = 1 group by k),
     pr as (select st.*, coalesce(hs.n, 0) as headers, coalesce(valid, 0) as valid, coalesce(names, 0) as names, list_concat([summary], coalesce(bodies, [])) as prose, coalesce(loops, false) as loops,
                   coalesce(alike, false) as alike, coalesce(echo, false) as echo, coalesce(cov, 0) as cov, coalesce(gro, 0) as gro
