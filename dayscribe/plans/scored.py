@@ -93,10 +93,29 @@ def q_mutations(spark, d):
 
 
 def q_soup(spark, d):
-    """300 digests of words that ground in nothing, over those records: how many, and how many over the ceiling."""
-    scores = scoring.score(mutate.soup_digests(spark, digests(spark, d), 300))
-    inside = F.min((F.col("total") >= 0) & (F.col("total") <= 1))
-    return scores.agg(F.count_distinct("sample").alias("samples"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("total") > 0.55).alias("over"), inside.alias("inside"))
+    """300 digests of words that ground in nothing, over records drawn by hash: the score of each, and whether it is over the ceiling."""
+    scores = scoring.score(mutate.soup_digests(spark, digests(spark, d), 300, key="conv_id"))
+    return scores.select("sample", F.size("activity").alias("n_repos"), rounded("total"), (F.col("total") > 0.55).alias("over"))
+
+
+def odd_scores(spark, d) -> DataFrame:
+    return scoring.score(mutate.odd_digests(digests(spark, d), "conv_id"), detail=True)
+
+
+def q_odd(spark, d):
+    """The score of an odd digest against an odd record, of each conversation."""
+    return _rounded(odd_scores(spark, d), "conv_id")
+
+
+def q_properties(spark, d):
+    """Each invariant over those scores: rows that it is about, rows that break it, and the first of them."""
+    return mutate.invariants(odd_scores(spark, d), "conv_id")
+
+
+def q_step_means(spark, d):
+    """Means of the scores of those digests, a step eight conversations."""
+    rows = scoring.score(digests(spark, d), previous="previous", truncated="cut").withColumn("step", F.floor(F.col("conv_id") / 8)).withColumn("truncated", F.col("cut"))
+    return report.step_means(rows).select("step", *[rounded(c) for c in ("format", "coverage", "grounding", "penalties", "total", "truncated_rate")])
 
 
 def q_grounding(spark, d):
@@ -122,7 +141,7 @@ def q_target(spark, d):
     return rows.select("conv_id", F.md5(F.col("t").cast("binary")).alias("target"), F.length("t").alias("n_chars"))
 
 
-QUERIES = (q_score, q_sections, q_mutated, q_mutations, q_soup, q_grounding, q_prompt, q_target)
+QUERIES = (q_score, q_sections, q_mutated, q_mutations, q_soup, q_odd, q_properties, q_step_means, q_grounding, q_prompt, q_target)
 
 # The same in SQL. Values are written out; nothing is taken from the engine but the words that are added to digests.
 STOP = """a an and are as at be been but by can did do does for from had has have how i in into is it its just like more new not of on or our out over should so some
@@ -320,6 +339,54 @@ def _blocks(of: str) -> str:
     mu as ({rows})"""
 
 
+FILL = "banana mango kayak umbrella giraffe volcano ticket window quartz nomadic lantern".split()
+
+
+def _prose(most: int, *k: str) -> str:
+    return f"array_to_string(list_transform(range(1, ({_pick("'1'", *k)} % {most + 1} + 1)::bigint), lambda q: {_list([*SOUP, *FILL])}[{_pick("'0'", 'q', *k)} % {len(SOUP) + len(FILL)} + 1]), ' ')"
+
+
+def _skeleton(key: str, of: str) -> str:
+    """Sections of relation of (key, repos) as a list, one to three times over."""
+    return f"""select *, array_to_string(flatten(list_transform(range(1, ({_pick("'2'", key)} % 3 + 2)::bigint), lambda c: list_transform(range(1, len(repos) + 1),
+               lambda j: '### ' || repos[j] || {_NL} || {_NL} || {_prose(25, key, '(j - 1)', 'c')}))), {_NL} || {_NL}) as secs from {of}"""
+
+
+def _cut(key: str, of: str) -> str:
+    """Relation of (key, digest, ...) with three in ten digests cut."""
+    ls = rf"string_split(regexp_replace(digest, '\n$', ''), {_NL})"
+    share = f"{_pick(repr('4'), key)}::double / 4294967296::double"
+    return f"""select * replace (case when {_pick("'3'", key)} % 10 < 3 then case when digest = '' then '' else {_join(f"{ls}[1:floor(len({ls}) * ({share}))::int]")} end else digest end as digest) from {of}"""
+
+
+_REPOS = "rl as (select conv_id, coalesce(repos, []) as repos from ids left join (select conv_id, list(repo order by ord) as repos from r group by conv_id) using (conv_id))"
+_SOUPS = f"""
+    ra as (select *, row_number() over (order by md5('0:' || conv_id)) - 1 as place, count(*) over () as n from rl),
+    sm as (select s::int as sample, conv_id, repos from (select unnest(range(0, 300)) as s) join ra on place = s % least(n, 300)),
+    sk as ({_skeleton("sample", "sm")}),
+    sd as (select sample, conv_id, repos, '# Developer Journal' || {_NL} || {_NL} || '## Summary' || {_NL} || {_NL} || {_prose(30, "sample")} || {_NL} || {_NL} || '## Per-Repo Activity' || {_NL} || {_NL} || secs as digest from sk),
+    own as (select sample as k, conv_id, digest, null::varchar as previous, false as cut from ({_cut("sample", "sd")}))"""
+
+
+def _turn(what: str, n: int) -> str:
+    return f"({_pick(repr('5'), 'conv_id', repr(what))} % {n})"
+
+
+#: Records and digests of BASE made odd. Lines of odd digests end in several ways; what ends a line is a line feed to the parser.
+_ODD = f"""
+    sk as ({_skeleton("conv_id", "rl")}),
+    sp as (select *, '## Summary' || {_NL} || {_NL} || {_prose(30, "conv_id", "'s'")} || {_NL} || {_NL} as said, {_turn("summary", 7)} as su from sk),
+    sd as (select conv_id, case when {_turn("title", 5)} = 0 then '' else '# Developer Journal' || {_NL} || {_NL} end || case su when 0 then '' when 1 then said || said when 2 then '' else said end
+                  || case when {_turn("per", 6)} = 0 then '' else '## Per-Repo Activity' || {_NL} || {_NL} end || case when {_turn("stray", 4)} = 0 then {_prose(12, "conv_id", "'p'")} || {_NL} || {_NL} else '' end
+                  || secs || case when su = 2 then {_NL} || {_NL} || said else '' end as digest from sp),
+    oe as (select * replace (replace(digest, {_NL}, [chr(10), chr(13) || chr(10), chr(13), chr(11), chr(10)][({_turn("ends", 5)} + 1)::int]) as digest) from ({_cut("conv_id", "sd")})),
+    own as (select conv_id as k, conv_id, regexp_replace(digest, '\r\n|\r|\x0B', {_NL}, 'g') as digest, null::varchar as previous, false as cut from oe)"""
+_ODD_BASE = BASE.replace(" r as (select", " r0 as (select") + f""",
+    r as (select conv_id, ord, case when kind = 2 then '' else repo end as repo, case when kind in (1, 3) then '' else msg end as msg, case when kind in (1, 3) then [] else files end as files,
+                 case when kind in (1, 3) then '' else patch end as patch, shown from (select *, {_turn("record", 6)} as kind from r0) where kind <> 4)"""
+_ODD_BASE = _ODD_BASE.replace("from r group by conv_id)", "from r0 group by conv_id)")
+_ODD_SCORED = f"with {_ODD_BASE}, {_REPOS.replace('from r group', 'from r0 group')}, {_ODD}, {scored('own')}"
+
 ORACLE_SQL = {
     "q_score": f"""
         with {BASE}, own as (select conv_id as k, dg.conv_id, digest, previous, cut from dg join prev using (conv_id)), {scored("own")}
@@ -333,7 +400,22 @@ ORACLE_SQL = {
         select mutation, tier, round(avg(delta) + 1e-10::double, 6) as mean_delta, round(min(delta) + 1e-10::double, 6) as min_delta, round(max(delta) + 1e-10::double, 6) as max_delta,
                count(*) filter (case tier when 'must_cost' then delta > -0.02::double when 'must_not_pay' then delta > 0.02::double else abs(delta) > 0.05::double end) as violations
         from de group by mutation, tier""",
-    "q_soup": "select 300 as samples, 300 as n, 0 as over, true as inside",
+    "q_soup": f"with {BASE}, {_REPOS}, {_SOUPS}, {scored('own')} select k as sample, n_repos::int as n_repos, round(total::double + 1e-10::double, 6) as total, total > 0.55::double as over from sco",
+    "q_odd": f"{_ODD_SCORED} select conv_id, {', '.join(f'round({c}::double + 1e-10::double, 6) as {c}' for c in _FOUND)} from sco",
+    "q_properties": f"""
+        {_ODD_SCORED},
+        iv as (select conv_id, unnest([
+          {{'i': 'total_within_bounds', 'a': true, 'h': total between 0 and 1}},
+          {{'i': 'parts_within_bounds', 'a': true, 'h': format between 0 and 1 and coverage between 0 and 1 and grounding between 0 and 1 and penalties between 0 and 1}},
+          {{'i': 'nothing_to_cover', 'a': n_repos = 0, 'h': coverage = 1 and grounding = 0}},
+          {{'i': 'words_of_nothing_stay_low', 'a': n_repos > 0, 'h': total <= 0.55::double}},
+          {{'i': 'penalties_only_cost', 'a': true, 'h': total <= 0.30::double * format + 0.45::double * coverage + 0.25::double * grounding}},
+          {{'i': 'penalties_cover_each', 'a': true, 'h': penalties >= greatest({", ".join(c for c in _FOUND if c.startswith("p_"))}) - 1e-12::double}}]) as x from sco)
+        select x.i as invariant, count(*) as checked, count(*) filter (not x.h) as broken, min(conv_id) filter (not x.h) as first from iv where x.a group by x.i""",
+    "q_step_means": f"""
+        with {BASE}, own as (select conv_id as k, dg.conv_id, digest, previous, cut from dg join prev using (conv_id)), {scored("own")}
+        select conv_id // 8 as step, {", ".join(f"round(avg({c}::double) + 1e-10::double, 6) as {c}" for c in ("format", "coverage", "grounding", "penalties", "total"))},
+               round(avg(cut::int::double) + 1e-10::double, 6) as truncated_rate from sco group by 1""",
     "q_grounding": f"""
         with {BASE}, {GROUND},
         rf as (select conv_id, array_to_string(list_distinct_in_order, ',') as files from (
