@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.files import ACTIVITY, COMMIT, FILES, SPARSE_COMMITS, is_low_signal, shown_files
+from ..sources import versions
+from ..stage import staged
 
 JSON = f"map<string,struct<commits:array<{COMMIT}>>>"
 
@@ -107,6 +111,26 @@ def backfill(rows: DataFrame, commit_files: DataFrame, key: str, activity: str =
     return out.select(*[empty.alias(activity) if c == activity else F.col(f"`{c}`") for c in rows.columns])
 
 
+KEPT = f"repo string, sha string, files {FILES}"
+
+
+def enrich(rows: DataFrame, folder: str, fetch: Callable[[DataFrame], DataFrame], key: str, activity: str = "activity") -> DataFrame:
+    """rows with each commit's files, from a table of versions in folder that is kept between runs; what it lacks is fetched first.
+
+    The commits that rows name, each once, are held against those that the table has, keys alone, and fetch is given only
+    the others: (repo, sha) to (repo, sha, files), without a row for one that isn't there. Each of them is kept, without files too,
+    so the next run asks for new ones only."""
+    spark = rows.sparkSession
+    repos = rows.select(F.explode(activity).alias("r")).select(F.col("r.repo").alias("repo"), F.explode("r.commits").alias("c"))
+    named = repos.select("repo", F.col("c.sha").alias("sha")).filter("repo is not null and sha is not null").distinct()
+    have = versions.read(spark, folder, schema=KEPT)
+    lacking = staged(named.join(have.select("repo", "sha"), ["repo", "sha"], "left_anti"), "lacking")
+    if not lacking.isEmpty():
+        found = lacking.join(fetch(lacking).groupBy("repo", "sha").agg(F.first("files", True).cast(FILES).alias("files")), ["repo", "sha"], "left")
+        versions.append(found.select("repo", "sha", "files"), folder)
+    return backfill(rows, versions.read(spark, folder, schema=have.schema), key, activity)
+
+
 def bundles(rows: DataFrame, key: str, n: int, least: int, most: int, seed: int = 42) -> DataFrame:
     """(bundle, key): n samples of least to most rows each (all rows, if there are fewer), without replacement.
 

@@ -110,6 +110,22 @@ def split_every(df: DataFrame, order: str, every: int = 9, **how) -> DataFrame:
     return ranked.withColumn("split", F.when(F.col("_before") % every == 0, "eval").otherwise("train")).drop("_before")
 
 
+def with_previous(df: DataFrame, order: str, key: str, value: str, rows_a_bucket: int = 1 << 20, name: str = "previous") -> DataFrame:
+    """df with name added: the value of the row before in (order, key) over all rows, null for the first; nulls come first.
+
+    Rows are dealt into ranges, more the more there are, and staged; within a range the row before is the one above, and each
+    range hands its last row on to the next that has rows. Only these last rows, one a range, are put in order together."""
+    parts = df.count() // rows_a_bucket + 1
+    dealt = staged(df.repartitionByRange(parts, order, key).withColumn("_b", F.spark_partition_id()), "ranges")
+    place = F.struct(*[F.struct(F.col(c).isNotNull().alias("known"), F.col(c).alias("at")) for c in (order, key)])
+    last = dealt.groupBy("_b").agg(F.max_by(F.struct(F.col(value).alias("v")), place).alias("_last"))
+    handed = last.select("_b", F.lag("_last").over(Window.orderBy("_b")).alias("_last"))
+    within = Window.partitionBy("_b").orderBy(order, key)
+    above = F.lag(F.struct(F.col(value).alias("v"))).over(within)
+    out = dealt.withColumn("_above", above).join(handed, "_b")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_above", "_last")["v"].alias(name))
+
+
 def lookback(prompt: str | Column) -> Column:
     """Days that an old prompt says it looks back on; 1 if it doesn't say."""
     found = F.regexp_extract(T.text(prompt), r"\(last (\d+) day", 1)

@@ -42,9 +42,13 @@ def order_files(spark, d: str) -> DataFrame:
     return item.groupBy("l_orderkey").agg(F.transform(listed, lambda x: x["f"]).cast(ff.FILES).alias("files"))
 
 
-def commits(spark, d: str) -> DataFrame:
-    """(o_custkey, o_orderkey, o_orderdate, repo, c): each order as a commit."""
-    o = table(spark, d, "orders").join(order_files(spark, d).withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "left")
+def commits(spark, d: str, files: bool = True) -> DataFrame:
+    """(o_custkey, o_orderkey, o_orderdate, repo, c): each order as a commit; its items are read where its files are wanted."""
+    o = table(spark, d, "orders")
+    if files:
+        o = o.join(order_files(spark, d).withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "left")
+    else:
+        o = o.withColumn("files", F.lit(None).cast(ff.FILES))
     key = F.col("o_orderkey").cast("string")
     message = F.concat(F.lit("order "), key, F.lit(" of "), "o_orderstatus", F.lit("\nsecond line"))
     c = F.struct(F.md5(key.cast("binary")).alias("sha"), message.alias("message"), F.lit(None).cast("string").alias("url"), "files").cast(ff.COMMIT)
@@ -59,8 +63,8 @@ def gathered(rows: DataFrame, *keys: str) -> DataFrame:
     return repos.groupBy(*keys).agg(F.transform(every, lambda x: F.struct(x["repo"].alias("repo"), x["commits"].alias("commits"))).cast(ff.ACTIVITY).alias("activity"))
 
 
-def records(spark, d: str) -> DataFrame:
-    return gathered(commits(spark, d), "o_custkey")
+def records(spark, d: str, files: bool = True) -> DataFrame:
+    return gathered(commits(spark, d, files), "o_custkey")
 
 
 def _flat(rows: DataFrame, *keys: str) -> DataFrame:
@@ -72,7 +76,7 @@ def _flat(rows: DataFrame, *keys: str) -> DataFrame:
 
 def q_commits(spark, d):
     """Commits of each record, and whether they are few enough for patches to be shown."""
-    return records(spark, d).select("o_custkey", A.total_commits("activity").alias("n_commits"), A.shows_patches("activity").alias("shows_patches"))
+    return records(spark, d, files=False).select("o_custkey", A.total_commits("activity").alias("n_commits"), A.shows_patches("activity").alias("shows_patches"))
 
 
 def q_top_files(spark, d):
@@ -94,8 +98,7 @@ def q_regenerate(spark, d):
 def q_backfill(spark, d):
     """Records without files, given those of a table that lacks some commits."""
     have = commits(spark, d).filter("o_orderkey % 4 <> 0").select("repo", F.col("c.sha").alias("sha"), F.col("c.files").alias("files"))
-    bare = F.transform("activity", lambda r: F.struct(r["repo"].alias("repo"), F.transform(r["commits"], lambda c: c.withField("files", F.lit(None).cast(ff.FILES))).alias("commits")))
-    rows = A.backfill(records(spark, d).select("o_custkey", bare.cast(ff.ACTIVITY).alias("activity")), have, "o_custkey")
+    rows = A.backfill(records(spark, d, files=False), have, "o_custkey")
     rows = rows.select("o_custkey", F.posexplode("activity").alias("i", "r")).select("o_custkey", "i", F.posexplode("r.commits").alias("j", "c"))
     name = lambda f: F.concat(f["filename"], F.lit(" +"), f["additions"], F.lit(" -"), f["deletions"])
     return rows.select("o_custkey", "i", "j", F.col("c.sha").alias("sha"), F.size("c.files").alias("n_files"), F.array_join(F.transform("c.files", name), ",").alias("files"))
@@ -103,7 +106,7 @@ def q_backfill(spark, d):
 
 def q_merge(spark, d):
     """A day's record a customer segment each, merged into bundles of seven days: commits and first-seen order."""
-    named = commits(spark, d).join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment")), "o_custkey")
+    named = commits(spark, d, files=False).join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment")), "o_custkey")
     day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date"))
     days = gathered(named.select(day.alias("day"), F.col("segment").alias("repo"), "o_orderkey", "c"), "day")
     return _flat(A.merge(days.withColumn("bundle", F.floor(F.col("day") / 7)), "bundle", "day"), "bundle")
@@ -146,40 +149,6 @@ def q_jsonl(spark, d):
     return back.select("date", "prompt", "completion", F.size("activity").alias("n_repos"), F.md5(F.array_join(shas, ",").cast("binary")).alias("shas"), F.col("_corrupt").isNotNull().alias("aside"))
 
 
-def _write(spark, path: str, text: str) -> None:
-    """One small file in any store that Spark reaches."""
-    jvm, sc = spark._jvm, spark.sparkContext
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at)
-    out.write(bytearray(text.encode()))
-    out.close()
-
-
-def q_folder(spark, d):
-    """Nations (25 of them) as digests with sidecars, some of which lack, or don't parse, or say nothing."""
-    folder = _folder(spark, "digests")
-    for n in table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").collect():
-        k, stem = n.n_nationkey, f"{folder}/2026-01-{n.n_nationkey + 1:02d}-{n.n_regionkey + 1}d"
-        body = f"## Summary\n\nA week in {n.n_name}.\n\n## Per-Repo Activity\n\n### me/{n.n_name.lower()}\n\nSold goods.\n"
-        _write(spark, f"{stem}.md", "nothing" if k % 6 == 5 else f"Here it is:\n{'# Developer Journal' if k % 2 else ''}\n{body}```\n")
-        side = '{"me/%s": {"commits": [{"sha": "%s", "message": "sell"}]}, "me/none": {"commits": []}}' % (n.n_name.lower(), "0123456789"[k % 3 :])
-        if k % 5 != 4:
-            _write(spark, f"{stem}-commits.json", "{broken" if k % 5 == 3 else '{"me/none": {"commits": []}}' if k == 2 else side)
-    _write(spark, f"{folder}/notes.md", "# Developer Journal\n")
-    rows = src.read_digests(spark, folder, "me")
-    return rows.select("date", "days", "split", F.split("prompt", "\n")[2].alias("commit"), "completion", F.size("activity").alias("n_repos"))
-
-
-def q_logs(spark, d):
-    """Regions (5 of them) as evaluation logs, one of which has no mean yet."""
-    folder = _folder(spark, "logs")
-    for r in table(spark, d, "region").select("r_regionkey", "r_name").collect():
-        k = r.r_regionkey
-        lines = [f'=== sample {i} (truncated={i % 2 == 0}, len={i * 7})\n{{"total": {0.0 if i % 3 == 0 else 0.5}}}' for i in range(k + 1)]
-        _write(spark, f"{folder}/{r.r_name}.log", "\n".join(["start", *lines, "still running" if k == 4 else f"MEAN_REWARD 0.{k}25"]))
-    return src.read_eval_logs(spark, folder)
-
-
 def _ratios(spark, d) -> DataFrame:
     docs = T.barrier(table(spark, d, "documents").select("doc_id", T.words("text").alias("w")))
     return T.barrier(table(spark, d, "labels").join(docs, "doc_id").select("doc_id", "quality", T.repetition_ratio(F.col("w")).alias("total")))
@@ -246,7 +215,7 @@ def q_ladder_table(spark, d):
 
 
 QUERIES = (
-    q_commits, q_top_files, q_regenerate, q_backfill, q_merge, q_bundles, q_split, q_chat, q_jsonl, q_folder, q_logs, q_calibrate, q_worst, q_first, q_ticks, q_guard, q_plan, q_ladder_table,
+    q_commits, q_top_files, q_regenerate, q_backfill, q_merge, q_bundles, q_split, q_chat, q_jsonl, q_calibrate, q_worst, q_first, q_ticks, q_guard, q_plan, q_ladder_table,
 )
 
 _NL = "chr(10)"
@@ -305,15 +274,6 @@ ORACLE_SQL = {
         with {_RECORDS}, {_PLACES}, x as (select cust, count(distinct repo)::int as n, md5(string_agg(sha, ',' order by i, okey)) as shas from cm join pl using (cust, repo) group by cust)
         select cust::varchar as date, 'p' as prompt, 'said "so", é' || {_NL} || cust as completion, n as n_repos, shas, false as aside from x
         union all select r_name, 'q', null, null, null, true from region""",
-    "q_folder": f"""
-        with n as (select n_nationkey as k, n_name, lower(n_name) as low, n_regionkey as r from nation)
-        select '2026-01-' || lpad((k + 1)::varchar, 2, '0') as date, (r + 1)::int as days, case when k % 9 = 0 then 'eval' else 'train' end as split, '- ' || '0123456789'[k % 3 + 1:k % 3 + 7] || ': sell' as commit,
-               case when k % 2 = 1 then '# Developer Journal' || {_NL} else '' end || '## Summary' || {_NL} || {_NL} || 'A week in ' || n_name || '.' || {_NL} || {_NL}
-               || '## Per-Repo Activity' || {_NL} || {_NL} || '### ' || low || {_NL} || {_NL} || 'Sold goods.' as completion, 2 as n_repos
-        from n where k % 6 <> 5 and k % 5 < 3 and k <> 2""",
-    "q_logs": """
-        select r_name || '.log' as name, case when r_regionkey < 4 then ('0.' || r_regionkey || '25')::double end as mean, (r_regionkey + 1)::int as n,
-               (r_regionkey // 2 + 1)::int as truncated, (r_regionkey // 3 + 1)::int as zeros from region""",
     "q_calibrate": f"with {_RATIOS} select quality, count(*) as n, round(avg(total) + 1e-10::double, 6) as mean, round(min(total) + 1e-10::double, 6) as least, count(*) filter (total < 0.85::double) as below_floor from ra group by quality",
     "q_worst": f"with {_RATIOS} select doc_id, round(total + 1e-10::double, 6) as total from ra where total < 0.85::double",
     "q_first": "select round(avg(value) + 1e-10::double, 6) as mean from (select value from events order by event_id limit 100)",

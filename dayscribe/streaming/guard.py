@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.guard import HELDOUT_DROP, LENGTH_FLOOR, PATIENCE, RULES, TRAIN_GAIN, TRUNC_CEILING
@@ -47,3 +48,19 @@ def guarded(ticks: DataFrame, patience: int = PATIENCE) -> DataFrame:
         yield pd.DataFrame(out, columns=["run", "step", "reason"])
 
     return ticks.groupBy("run").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def replayed(history: DataFrame, folder: str, parts: int = 3, patience: int = PATIENCE) -> DataFrame:
+    """(run, step, reason) of a run's first abort, as first_abort has them, by the stream: a history comes in parts, by ranges of
+    steps, and after each the stream is run to its end and stopped. The next takes up from its checkpoint, where each
+    run's last ticks are held, so no tick is read twice. No ticks give no row."""
+    spark = history.sparkSession
+    low, high = history.agg(F.min("step"), F.max("step")).first()
+    ticks = history.select("run", F.col("step").cast("long").alias("step"), *[F.col(c).cast("double") for c in ("train_reward", "spotcheck_total", "tokens")], F.col("ref_tokens").cast("long"), F.col("truncated_rate").cast("double"))
+    for k in range(parts if low is not None else 0):
+        since, until = low + (high + 1 - low) * k // parts, low + (high + 1 - low) * (k + 1) // parts
+        ticks.filter((F.col("step") >= since) & (F.col("step") < until)).write.mode("append").parquet(f"{folder}/ticks")
+        stream = spark.readStream.schema(ticks.schema).parquet(f"{folder}/ticks")
+        out = guarded(stream, patience).writeStream.format("parquet").option("path", f"{folder}/aborts").option("checkpointLocation", f"{folder}/checkpoint")
+        out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(OUTPUT).parquet(f"{folder}/aborts") if low is not None else spark.createDataFrame([], OUTPUT)
