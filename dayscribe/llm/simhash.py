@@ -219,13 +219,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 def _resolved(fps: DataFrame, least: Column, name: str, distance: int) -> DataFrame:
     """fps, read several times, with the aggregate least of all rows reachable over links in column name."""
-    distinct = staged(fps.groupBy("fp").agg(least.alias("least")), "distinct")
+    distinct = staged(fps.groupBy("fp").agg(least.alias("least"), F.count(F.lit(1)).alias("c")), "distinct")
     found = components(links(distinct, distance))
     roots = staged(distinct.join(found.withColumnRenamed("node", "fp"), "fp"), "linked")
     lowest = roots.groupBy("component").agg(F.min("least").alias("lowest"), F.count(F.lit(1)).alias("n"))
     moved = staged(spread_join(roots, lowest, "component", "n", roots.count()).select("fp", "lowest"), "roots")
-    of = distinct.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "least").alias(name))
-    return fps.join(of, "fp")
+    of = distinct.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "least").alias(name), "c")
+    return spread_join(fps, of, "fp", "c", fps.count())
 
 
 def dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 4, distance: int = 4) -> DataFrame:
