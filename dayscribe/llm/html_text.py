@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, staged
+from .common import clean_text, spread_join, staged
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are nodes of the wrapper; the text of others belongs to the container around them.
@@ -38,8 +38,12 @@ BOILERPLATE = frozenset(
 #: Tokens that name an article element as a reader's comment.
 REMARK = frozenset("comment reply".split())
 REMARKS = frozenset("comments comment replies respond disqus related recommended".split())
+#: Elements that hold text: within an article of a host with a wrapper a name drops one only if it is an advert's, or if the
+#: wrapper shows that most of its text is constant.
+PROSE = frozenset("blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 p pre table tbody td tfoot th thead tr".split())
+ADVERT = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
 #: Tokens of regions that are left out however much of the page they hold; others may name the wrapper of an article.
-NEVER = REMARKS | frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+NEVER = REMARKS | ADVERT
 #: Sections are anchors as headings are: an id names one only if it is one of these.
 ANCHORED = frozenset("comments respond disqus".split())
 #: Elements that a page has one of, or that are alike whatever they are called: matched by tag alone.
@@ -50,6 +54,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp"))
 #: Pages of a host from which its wrapper counts; the share of a node's pages that a block must be on to be constant.
 LEAST_PAGES, SHARE = 5, 0.9
+#: Nodes of a host's wrapper; pages, or different trees, of a host that a task takes with one copy of it.
+NODES, GROUP = 1 << 15, 1024
 #: What a constant character weighs against a varying one, and a name against mass.
 CONSTANT, NAMED = 0.25, 4.0
 #: A slot beside the content that holds less than this share of it isn't content.
@@ -63,6 +69,40 @@ class Node:
         self.tag, self.names, self.parts = tag, names, []
 
 
+#: Tags whose quotes never end that are looked through to the end of a page; from there on a tag ends at the first >.
+UNQUOTED = 32
+
+
+def _tags(html: str):
+    """(text before, end tag or not, tag, attributes, place after, whether a tag is there) of each piece of markup in order, in time
+    that grows with the page's length, whatever is broken in it."""
+    import re
+
+    opening = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+    name = re.compile(r"[a-zA-Z][^\s/>]*")
+    quoted = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+    at, n, broken = 0, len(html), 0
+    while at < n:
+        m = opening.search(html, at)
+        stop = html.find(">", m.end()) if m else -1
+        if m and m[0] == "<!--":
+            end = html.find("-->", m.end())
+            at = yield html[at : m.start()], None, "", "", n if end < 0 else end + 3
+            continue
+        if stop < 0:  # no tag ends any more
+            yield html[at:], None, "", "", n
+            return
+        if m[0][1] in "!?":
+            at = yield html[at : m.start()], None, "", "", stop + 1
+            continue
+        end_tag = m[0][1] == "/"
+        tag = name.match(html, m.end() - 1)
+        found = quoted.match(html, tag.end()) if broken < UNQUOTED else None
+        broken += found is None
+        after = found.end() if found else html.find(">", tag.end()) + 1
+        at = yield html[at : m.start()], end_tag, tag[0].lower(), html[tag.end() : after - 1], after
+
+
 def parse(html: str) -> Node:
     """The tree of a page's elements and texts, whatever the markup; character references decoded."""
     import html as refs
@@ -71,65 +111,71 @@ def parse(html: str) -> Node:
 
     # Trees are walked by recursion, and a broken page may nest as deep as it is long; Python's frames aren't on the C stack.
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * html.count("<") + 10_000))
-    token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
     name = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-    root = Node("#")
-    stack, at, n = [root], 0, len(html)
+    n = len(html)
+    # Open elements, the places of each tag and of blocks among them.
+    stack, places, blocks = [Node("#")], {}, []
+
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        if node.tag in BLOCK:
+            blocks.append(len(stack))
+        stack.append(node)
 
-    def say(text: str) -> None:
+    def close(k: int) -> None:
+        for node in stack[k:]:
+            places[node.tag].pop()
+        while blocks and blocks[-1] >= k:
+            blocks.pop()
+        del stack[k:]
+
+    pieces = _tags(html)
+    piece = next(pieces, None)
+    while piece:
+        text, ends, tag, rest, at = piece
         if text:
             stack[-1].parts.append(refs.unescape(text) if "&" in text else text)
-
-    while at < n:
-        m = token.search(html, at)
-        if not m:
-            say(html[at:])
-            break
-        say(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                # An end tag of inline markup doesn't reach out of its block.
-                if tag not in BLOCK and stack[k].tag in BLOCK:
-                    break
-            continue
-        if tag in BLOCK:
-            # A block ends an open paragraph with the inline markup in it, and a list item or cell its like.
-            ended = CLOSES.get(tag, frozenset())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p" or stack[k].tag in ended:
-                    del stack[k:]
-                    if not ended:
+        if ends and places.get(tag):
+            k = places[tag][-1]
+            # An end tag of inline markup doesn't reach out of its block.
+            if tag in BLOCK or not blocks or blocks[-1] <= k:
+                close(k)
+        elif ends is False:
+            if tag in BLOCK:
+                # A block ends an open paragraph with the inline markup in it, and a list item or cell its like.
+                ended = CLOSES.get(tag, frozenset())
+                for k in blocks[::-1] if ended else blocks[-1:]:
+                    if stack[k].tag == "p" or stack[k].tag in ended:
+                        close(k)
+                        if not ended:
+                            break
+                    elif not (ended and stack[k].tag in ("tr", "td", "th", "li", "dd", "dt")):
                         break
-                elif stack[k].tag in BLOCK and not (ended and stack[k].tag in ("tr", "td", "th", "li", "dd", "dt")):
-                    break
-        rest = m[3] if m[2] else m[6]
-        names = frozenset()
-        if rest and "=" in rest:
-            said = [(k.lower(), a or b or c) for k, a, b, c in name.findall(rest)]
-            # An id names a region only if it is one of the known names: others name the page or the place.
-            names = frozenset(
-                t for k, v in said for t in v.lower().split()
-                if k != "id" or t in BOILERPLATE and tag not in HEADINGS and (tag != "section" or t in ANCHORED)
-            )
-        node = Node(tag, names)
-        stack[-1].parts.append(node)
-        if tag in VOID or rest.endswith("/") and tag not in BLOCK:
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            if tag not in ("script", "style"):
-                node.parts.append(html[at : end.start() if end else n])
-            at = end.end() if end else n
-            continue
-        stack.append(node)
-    return root
+            names = frozenset()
+            if rest and "=" in rest:
+                said = [(k.lower(), a or b or c) for k, a, b, c in name.findall(rest)]
+                # An id names a region only if it is one of the known names: others name the page or the place.
+                names = frozenset(
+                    t for k, v in said for t in v.lower().split()
+                    if k != "id" or t in BOILERPLATE and tag not in HEADINGS and (tag != "section" or t in ANCHORED)
+                )
+            node = Node(tag, names)
+            stack[-1].parts.append(node)
+            if tag in VOID or rest.endswith("/") and tag not in BLOCK:
+                pass
+            elif tag in RAW:
+                end = re.compile(rf"</{tag}\b", re.I).search(html, at)
+                stop = html.find(">", end.end()) if end else -1
+                if tag not in ("script", "style"):
+                    node.parts.append(html[at : end.start() if stop >= 0 else n])
+                at = stop + 1 if stop >= 0 else n
+            else:
+                push(node)
+        try:
+            piece = pieces.send(at)
+        except StopIteration:
+            break
+    return stack[0]
 
 
 class Page:
@@ -148,7 +194,8 @@ class Page:
                 self.blocks.append((own, text, max(0, len(text) - linked)))
             linked = 0
 
-        def walk(node, own, link):
+        def walk(node, own, link, within):
+            """within: inside an article, or a block of text: inline markup there is text whatever it is called."""
             nonlocal linked
             for p in node.parts:
                 if not isinstance(p, str) and (p.tag in BLOCK or p.tag == "a") and p.tag not in CONTAINERS and p.tag not in HIDDEN:
@@ -165,27 +212,27 @@ class Page:
                         flush(own)
                 elif p.tag in CONTAINERS:
                     said = sorted(p.names & (REMARK | BOILERPLATE) if p.tag in PLAIN else p.names)
-                    open_(p, own, [t for t in said if not any(c.isdigit() for c in t)], link)
+                    open_(p, own, [t for t in said if not any(c.isdigit() for c in t)], link, within or p.tag in ("article", "main"))
                 elif p.names & BOILERPLATE and names and (p.tag in BLOCK or any(not isinstance(x, str) and x.tag in BLOCK for x in p.parts)):
                     # Other elements are containers only where they name themselves as something other than content.
-                    open_(p, own, sorted(p.names & BOILERPLATE), link)
+                    open_(p, own, sorted(p.names & BOILERPLATE), link, within or p.tag in PROSE)
                 elif p.tag in BLOCK:
                     flush(own)
-                    walk(p, own, link)
+                    walk(p, own, link, within or p.tag in PROSE)
                     flush(own)
-                elif not (names and p.names & BOILERPLATE):
-                    walk(p, own, link or p.tag == "a")
+                elif within or not (names and p.names & BOILERPLATE):
+                    walk(p, own, link or p.tag == "a", within)
 
-        def open_(p, own, said, link):
+        def open_(p, own, said, link, within):
             flush(own)
             k = len(self.parent)
             self.parent.append(own)
             self.label.append(" ".join([p.tag, *said]))
             inner.append(set())
-            walk(p, k, link)
+            walk(p, k, link, within)
             flush(k)
 
-        walk(parse(html), 0, False)
+        walk(parse(html), 0, False, False)
         flush(0)
         self.node, self.tree = _shape(self.parent, self.label, inner)
 
@@ -388,7 +435,9 @@ def decide(parent: list[int], label: list[str], varying: list[float], constant:
             region[k], inside[k] = region[up], inside[up]
             if not read[up]:
                 continue
-            if inside[up]:
+            if inside[up] and induced and names and tag[k] in PROSE and not said[k] & ADVERT:
+                read[k] = not named[k] or constant[k] <= varying[k]
+            elif inside[up]:
                 # What holds most of its region's text wraps the article, whatever its name.
                 read[k] = not never[k] and not (named[k] and 2 * mass[k] <= mass[region[k]])
             elif story[k]:
@@ -498,31 +547,42 @@ def _lined(names: bool):
 
 
 def _merged(table):
-    """A host's trees merged into one, those of the most pages first; of equal ones the smaller digest."""
+    """A host's trees merged into one, those of the most pages first; of equal ones the smaller digest. A tree that would make more than
+    NODES of it is left out: nodes of it that the others lack are in no wrapper, and what stands there is decided by its own page."""
     import pyarrow as pa
 
     rows = sorted(zip(table.column("pages").to_pylist(), table.column("shape").to_pylist(), table.column("tree").to_pylist()), key=lambda r: (-r[0], r[1]))
     tree = None
     for _, _, text in rows:
         other = unflat(text)[2]
-        tree = other if tree is None else merge(tree, other)
+        if tree is None:
+            tree = other
+        elif tree[3] != other[3] and tree[2] + other[2] - match(tree, other)[0] <= NODES:
+            tree = merge(tree, other)
     own = int.from_bytes(tree[3], "little", signed=True)
     return pa.table({"host": table.column("host")[:1], "shape": pa.array([own], pa.int64()), "tree": pa.array([flat(tree)]), "pages": pa.array([sum(r[0] for r in rows)], pa.int64())})
 
 
-def _placed(batches):
+def _placed(shapes, whole):
+    """Where each tree's nodes are in its host's wrapper."""
     import pyarrow as pa
 
-    held: dict = {}
-    for batch in batches:
-        to = []
-        for tree, whole in zip(batch.column("tree").to_pylist(), batch.column("whole").to_pylist()):
-            if whole not in held:
-                held.clear()
-                held[whole] = unflat(whole)[2]
-            to.append(aligned(unflat(tree)[2], held[whole]))
-        cols = [batch.column("host"), batch.column("shape"), pa.array(to, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(cols, ["host", "shape", "to"])
+    tree = unflat(whole.column("whole")[0].as_py())[2]
+    to = [aligned(unflat(x)[2], tree) for x in shapes.column("tree").to_pylist()]
+    return pa.table({"host": shapes.column("host"), "shape": shapes.column("shape"), "to": pa.array(to, pa.list_(pa.int32()))})
+
+
+def _beside(rows: DataFrame, whole: DataFrame, count: str, f, kind: str) -> DataFrame:
+    """f over groups of a host's rows, some GROUP of them, each beside its host's one row of whole, which has the number of its rows
+    in column count: that row is copied once a group, not once a row. Rows of hosts without one are left out.
+
+    Rows are numbered where they are read, and dealt into their host's groups by that number: copies too."""
+    groups = whole.select("host", F.col(count).alias("_c"), F.ceil(F.col(count) / GROUP).cast("int").alias("_groups"))
+    total = whole.agg(F.sum(count)).first()[0] or 0
+    dealt = spread_join(rows.withColumn("_row", F.monotonically_increasing_id()), groups, "host", "_c", total)
+    dealt = dealt.withColumn("_group", F.pmod(F.xxhash64("_row"), F.col("_groups")).cast("int")).drop("_row", "_groups")
+    copies = whole.withColumn("_group", F.explode(F.sequence(F.lit(0), F.ceil(F.col(count) / GROUP).cast("int") - 1)))
+    return dealt.groupBy("host", "_group").cogroup(copies.groupBy("host", "_group")).applyInArrow(f, kind)
 
 
 def wrappers(pages: DataFrame, html: str = "html", url: str = "url", fan_in: int = 64, names: bool = True) -> DataFrame:
@@ -538,7 +598,8 @@ def wrappers(pages: DataFrame, html: str = "html", url: str = "url", fan_in: int
     kind = "host string, shape long, tree string, pages long"
     some = shapes.withColumn("slot", F.pmod("shape", F.lit(fan_in))).groupBy("host", "slot").applyInArrow(_merged, kind)
     whole = staged(some.groupBy("host").applyInArrow(_merged, kind).select("host", F.col("tree").alias("whole"), F.col("pages").alias("all")), "wrappers")
-    placed = shapes.join(whole.select("host", "whole"), "host").select("host", "shape", "tree", "whole").mapInArrow(_placed, "host string, shape long, to array<int>")
+    several = shapes.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    placed = _beside(shapes.select("host", "shape", "tree"), whole.select("host", "whole").join(several, "host"), "n", _placed, "host string, shape long, to array<int>")
     placed = staged(placed, "placed")
     on = shapes.select("host", "shape", "pages").join(placed, ["host", "shape"]).select("host", "pages", F.explode(F.array_distinct("to")).alias("node"))
     on = on.groupBy("host", "node").agg(F.sum("pages").alias("on"))
@@ -558,7 +619,7 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", id_col: st
     """One row for each row of pages: page_id, url, text (empty if none), n_chars.
 
     Null html is empty; pages without a host, a null url among them, are decided each by itself. Repeated rows each count as a page. An empty
-    table gives none. Wrappers are broadcast up to broadcast_bytes in all, and joined by host beyond. names: whether
+    table gives none. Wrappers are broadcast up to broadcast_bytes in all; beyond, pages are dealt into groups of a host, each beside one copy. names: whether
     the names of containers count beside their masses."""
     spark = pages.sparkSession
     found = staged(wrappers(pages, html, url, names=names), "templates")
@@ -567,29 +628,49 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", id_col: st
     shape = dict(pages.dtypes)
     out = f"page_id {shape[id_col]}, url {shape[url]}, text string, n_chars long"
     plain = lambda r: (r["tree"], r["pages"], [(x["node"], x["mass"], x["fixed"], x["constants"]) for x in r["stats"] or ()])
+
+    def texts(pages, wrapper):
+        import pyarrow as pa
+
+        found = [extract(page.as_py(), w, names) for page, w in zip(pages.column("html"), wrapper)]
+        return [pages.column("page_id"), pages.column("url"), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())]
+
+    columns = ["page_id", "url", "text", "n_chars"]
     if size <= broadcast_bytes:
         held = spark.sparkContext.broadcast({r.host: plain(r) for r in found.collect()})
-    else:
-        held = None
-        rows = rows.join(found.select("host", F.struct("tree", "pages", "stats").alias("wrapper")), "host", "left")
 
-    def run(batches):
+        def run(batches):
+            import pyarrow as pa
+
+            known: dict = {}
+            for batch in batches:
+                of = []
+                for host in batch.column("host").to_pylist():
+                    if host not in known:
+                        if len(known) >= 256:
+                            known.clear()
+                        mine = held.value.get(host)
+                        known[host] = mine and Wrapper(*mine, names)
+                    of.append(known[host])
+                yield pa.RecordBatch.from_arrays(texts(batch, of), columns)
+
+        return rows.mapInArrow(run, out)
+
+    def group(pages, whole):
+        import itertools
+
+        import pyarrow as pa
+
+        own = Wrapper(*plain(whole.to_pylist()[0]), names)
+        return pa.Table.from_arrays(texts(pages, itertools.repeat(own)), columns)
+
+    def alone(batches):
+        import itertools
+
         import pyarrow as pa
 
-        known: dict = {}
         for batch in batches:
-            hosts = batch.column(batch.schema.get_field_index("host")).to_pylist()
-            own = None if held else batch.column(batch.schema.get_field_index("wrapper"))
-            texts = []
-            for k, page in enumerate(batch.column(batch.schema.get_field_index("html"))):
-                host = hosts[k]
-                if host not in known:
-                    if len(known) >= 256:
-                        known.clear()
-                    mine = held.value.get(host) if held else own[k].as_py()
-                    known[host] = mine and Wrapper(*(mine if held else plain(mine)), names)
-                texts.append(extract(page.as_py(), known[host], names))
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return rows.mapInArrow(run, out)
+            yield pa.RecordBatch.from_arrays(texts(batch, itertools.repeat(None)), columns)
+
+    # Every page with a host counts for its wrapper, so pages without one are those without a host.
+    return _beside(rows.filter("host <> ''"), found, "pages", group, out).unionByName(rows.filter("host = ''").mapInArrow(alone, out))
