@@ -10,12 +10,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dayscribe.llm import html_text, langid, mixing, queries, tokens
+from dayscribe.llm import html_text, langid, mixing, periodic, queries, tokens
 
+from .test_new_operators import plain_planted, plain_runs, plain_variants, plain_words
 from .test_operators import DOC, PAGES, documents, plain_fingerprint, plain_targets, prose, roots, vectors
 
 CLASHES = ("digest", "keep_id", "place", "row", "h", "size", "fp", "position", "none", "component_id", "bucket", "start", "part", "ids", "host", "rule", "label", "lang_pred", "k1", "tree")
 VECTORS = "vec_id long, embedding array<double>, label int"
+ITEMS = "item_id long, text string"
 
 
 def rows_of_documents():
@@ -25,6 +27,15 @@ def rows_of_documents():
     return documents() + more
 
 
+def rows_of_items():
+    """Whole items and short ones, some that occur, one in all, equal ones, ones without words, id or text."""
+    long = prose(5, 30000).split()
+    found = [(k, " ".join(long[700 * k : 700 * k + 8 + 3 * k])) for k in range(6)]
+    more = [(20, "Lantern"), (21, "no id"), (22, "one AND the: same"), (23, "zebra harbor"), (24, None), (25, " .,; "), (26, "日本"), (27, "words here, upper"), (28, "upper case words here")]
+    apart = [(30, "the sea " * 40), (31, f"{prose(7, 400)} and then other words of a kind that nobody here ever wrote down at all"), (None, "d\x1c日本"), (None, "one and the same")]
+    return found + more + apart + [found[4], (40, found[4][1]), (41, found[4][1].upper().replace(" ", " -- "))]
+
+
 def rows_of_pages():
     page = "<html><body><div class=top>Harbor news</div><nav><a href=x>{0}</a></nav><article><h1>{1}</h1><p>{2}<p>&amp; so on {0}<p>Share this page</article><div class=ad>{3}</div></body></html>"
     rows = [(k, f"https://M.Harbor.example/{'en' if k % 2 else 'de'}/{k}?a={k}", page.format(prose(k, 2), prose(50 + k, 3), prose(90 + k, 30), prose(130 + k, 4))) for k in range(12)]
@@ -34,7 +45,7 @@ def rows_of_pages():
 @pytest.fixture(scope="module")
 def odd(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("odd"))
-    tables = {"documents": (rows_of_documents(), DOC), "pages": (rows_of_pages(), PAGES), "embeddings": (vectors(), VECTORS)}
+    tables = {"documents": (rows_of_documents(), DOC), "pages": (rows_of_pages(), PAGES), "embeddings": (vectors(), VECTORS), "benchmark": (rows_of_items(), ITEMS)}
     for name, (rows, schema) in tables.items():
         df = spark.createDataFrame(rows, schema)
         for c in CLASHES:
@@ -47,7 +58,7 @@ def odd(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def nothing(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("nothing"))
-    for name, schema in (("documents", DOC), ("pages", PAGES), ("embeddings", VECTORS)):
+    for name, schema in (("documents", DOC), ("pages", PAGES), ("embeddings", VECTORS), ("benchmark", ITEMS)):
         spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
     return folder
 
@@ -209,6 +220,58 @@ def test_op10(spark, odd, encoded):
                 at += r.length
 
 
+def test_op11(spark, odd):
+    items = [(k, plain_words(t)) for k, t in rows_of_items()]
+    want = Counter()
+    for d, t, *_ in rows_of_documents():
+        w, hit, own = plain_words(t), set(), set()
+        places = {n: defaultdict(list) for n in {min(len(x), 10) for _, x in items if x}}
+        for n, at in places.items():
+            for i in range(len(w) - n + 1):
+                at[tuple(w[i : i + n])].append(i)
+        for k, x in items:
+            n = min(len(x), 10)
+            for j in range(len(x) - n + 1 if n else 0):
+                for i in places[n].get(tuple(x[j : j + n]), ()):
+                    hit.update(range(i, i + n))
+                    own |= {str(k)} if k is not None else set()
+        want[d, len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit)] += 1
+    rows = queries.QUERIES["op11_decontamination"](spark, odd).collect()
+    assert Counter(map(tuple, rows)) == want and len({r.n_items for r in rows}) > 3
+
+
+def test_op12(spark, odd):
+    want = Counter()
+    for d, t, *_ in rows_of_documents():
+        words, kept, listed, best = plain_planted((t or "").encode(), d), [], [], None
+        runs = plain_runs(words) if len(words) < 3000 else periodic.small_runs(periodic.numbered(words)) + periodic.large_runs(periodic.numbered(words), 64, len(words))
+        for a, n, q in sorted(runs, key=lambda r: (r[0], r[2])):
+            listed.append(f"{a},{n},{q}\n")
+            if best is None or n * best[2] > best[1] * q:
+                best = (a, n, q)
+        kept = [w for i, w in enumerate(words) if not any(a + q <= i < a + n for a, n, q in runs)]
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        want[(d, len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, sha("".join(listed).encode()), sha(b" ".join(kept)))] += 1
+    rows = queries.QUERIES["op12_periodic_runs"](spark, odd).collect()
+    assert Counter(map(tuple, rows)) == want and any(r.n_runs for r in rows)
+
+
+def test_op13(spark, odd):
+    import re
+
+    n = Counter()
+    for d, t, *_ in rows_of_documents():
+        for w in re.findall("[A-Za-z\u00c0-\u00ff]+", t or ""):
+            w = re.sub("[A-Z]", lambda m: m[0].lower(), w)
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            if h % 199 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            n[w] += len(w) >= 6
+    n = {w: k for w, k in n.items() if k >= 5}
+    want = plain_variants(n)
+    assert {tuple(r) for r in queries.QUERIES["op13_spelling_variants"](spark, odd).collect()} == want and want
+
+
 def test_pipeline(spark, odd, encoded):
     """All stages on odd rows: what may go goes, what mustn't stays, and the pieces hold what the mix takes."""
     docs = spark.read.parquet(f"{odd}/documents.parquet")
