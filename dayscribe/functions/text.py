@@ -114,9 +114,16 @@ def ngrams(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(no_words())
 
 
+def word_keys(w: Column, seed: int = 0) -> Column:
+    """A 64-bit hash of each word."""
+    return F.transform(w, lambda x: F.xxhash64(F.lit(seed), x))
+
+
 def run_keys(w: Column, n: int) -> Column:
-    """A 64-bit hash of each run of n words, in order; none if there are fewer. w must be a materialised column (see barrier)."""
-    return F.transform(ngrams(w, n), lambda g: F.xxhash64(g))
+    """A 64-bit hash of each run of n words, in order; none if there are fewer. w, words or their keys, must be a materialised
+    column (see barrier). No run is ever put together as a text."""
+    at = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
+    return F.when(F.size(w) >= n, F.transform(at, lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>"))
 
 
 def trigrams(w: Column) -> tuple[Column, Column]:

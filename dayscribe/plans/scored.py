@@ -37,6 +37,8 @@ def digests(spark, d: str) -> DataFrame:
     name = F.when(bent == 7, F.lit("me/t0")).when(bent == 8, F.concat(F.lit("x"), n)).otherwise(F.concat(F.lit("me/t"), n))
     rows = turns.select("conv_id", "turn", "role", T.text("text").alias("text"), body.alias("body"), name.alias("name"), before.alias("b"))
     listed = lambda role, *c: F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("turn", *c))))
+    # Scoring is all work and few bytes: as many tasks as shuffles have, however small the table.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id")
     convs = rows.groupBy("conv_id").agg(listed("user", "text").alias("u"), listed("assistant", "name", "body", "b").alias("a"))
     turn = lambda x: x["turn"].cast("string")
     file = lambda name, patch: F.struct(name.alias("filename"), F.lit(1).cast("bigint").alias("additions"), F.lit(0).cast("bigint").alias("deletions"), patch.alias("patch"))
