@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.files import FILES
-from ..stage import staged
+from ..stage import spread_join, staged
 from .activity import commits_of, shows_patches
 
 # Fixed value: prompts must equal those that digests were written for.
@@ -65,26 +65,46 @@ def has_commits(prompt: str | Column) -> Column:
     return F.element_at(F.split(T.col(prompt), "\n\n"), 1).contains("- ")
 
 
+#: Equal rows that are numbered by one task, and ranges whose sums are broadcast (16 bytes each).
+EQUAL, RANGES = 1 << 16, 100_000
+
+
 def cumulated(df: DataFrame, order: str, weight: Column | None = None, rows_a_bucket: int = 1 << 20) -> DataFrame:
     """Adds _before: the sum of weight (1 a row if not given) of all rows earlier in order; nulls come first.
 
     Keys (the order, and a hash of the row for ties) are range-partitioned into buckets, more the more there are, and
-    staged, so a key's bucket stays what it is however often the plan runs. Only the buckets' sums go into one task;
-    the rows themselves are shuffled once, to their keys. Rows of equal order are ranked by the hash, equal rows in any order."""
+    staged, so a key's bucket stays what it is however often the plan runs. Only the buckets' sums go into one task, one a
+    million keys; the rows themselves are shuffled once, to their keys, those of very many equal rows not at all. Rows of equal
+    order are ranked by the hash, equal rows, whose weights are equal, in any order; very many of them by parts."""
     kinds = dict(df.dtypes)
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if "map<" not in kinds[c] and "variant" not in kinds[c]])
-    rows = df.withColumn("_t", tie).withColumn("_w", F.lit(1) if weight is None else weight)
-    keys = staged(rows.groupBy(order, "_t").agg(F.sum("_w").alias("_n")), "keys")
+    at = F.struct(F.col(order).alias("at"))  # equal to itself where the order is null, too
+    rows = df.withColumn("_u", F.monotonically_increasing_id()).withColumn("_o", at).withColumn("_t", tie).withColumn("_w", F.lit(1) if weight is None else weight)
+    key = ["_o", "_t"]
+    keys = staged(rows.groupBy(*key).agg(F.sum("_w").alias("_n"), F.count(F.lit(1)).alias("_c")), "keys")
     parts = keys.count() // rows_a_bucket + 1
-    dealt = staged(keys.repartitionByRange(parts, order, "_t").withColumn("_b", F.spark_partition_id()), "ranges")
+    dealt = staged(keys.repartitionByRange(parts, *key).withColumn("_b", F.spark_partition_id()), "ranges")
     sums = dealt.groupBy("_b").agg(F.sum("_n").alias("_all"))
     base = F.coalesce(F.sum("_all").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = Window.partitionBy("_b").orderBy(order, "_t").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_b", base.alias("_base"))
+    within = Window.partitionBy("_b").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
     local = dealt.withColumn("_l", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-    placed = local.join(F.broadcast(sums.select("_b", base.alias("_base"))), "_b").select(F.col(order).alias("_o"), F.col("_t").alias("_k"), (F.col("_base") + F.col("_l")).alias("_s"))
-    out = rows.join(placed, F.col(order).eqNullSafe(F.col("_o")) & (F.col("_t") == F.col("_k")))
-    equal = F.coalesce(F.sum("_w").over(Window.partitionBy("_o", "_k").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return out.withColumn("_before", F.col("_s") + equal).drop("_t", "_w", "_o", "_k", "_s")
+    placed = local.join(F.broadcast(sums) if parts <= RANGES else sums, "_b").select(*key, (F.col("_base") + F.col("_l")).alias("_s"), "_c")
+    total, most = keys.agg(F.sum("_c"), F.max("_c")).first()
+    parts_of = F.ceil(F.col("_c") / EQUAL)
+    out = spread_join(rows, placed.withColumn("_m", parts_of).withColumnRenamed("_c", "_k"), key, "_k", total or 0)
+    if (most or 0) > EQUAL:
+        # Parts by a number that each row has from where it is read.
+        out = staged(out.withColumn("_p", F.pmod(F.xxhash64("_u"), F.col("_m"))), "numbered")
+        sizes = out.filter("_m > 1").groupBy(*key, "_p").agg(F.sum("_w").alias("_all"))
+        below = F.coalesce(F.sum("_all").over(Window.partitionBy(*key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sizes = sizes.select(*key, "_p", below.alias("_below"))
+        many = out.filter("_m > 1").join(F.broadcast(sizes) if total <= RANGES * EQUAL else sizes, [*key, "_p"])
+        out = many.unionByName(out.filter("_m <= 1").withColumn("_below", F.lit(0)))
+    else:
+        out = out.withColumn("_p", F.lit(0).cast("long")).withColumn("_below", F.lit(0))
+    equal = F.coalesce(F.sum("_w").over(Window.partitionBy(*key, "_p").orderBy("_u").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_s") + F.col("_below") + equal).alias("_before"))
 
 
 def lowest_drawn(df: DataFrame, n: int, *parts: Column) -> DataFrame:

@@ -202,3 +202,22 @@ def test_eval_logs(spark, tmp_path):
     (tmp_path / "b.log").write_text("still running")
     rows = src.read_eval_logs(spark, str(tmp_path)).orderBy("name").collect()
     assert tuple(rows[0])[1:] == (0.25, 2, 1, 1) and rows[1].mean is None
+
+
+@pytest.mark.parametrize("bucket,equal", [(3, 1 << 16), (7, 4), (1 << 20, 10)])
+def test_cumulated_over_equal_rows(spark, monkeypatch, bucket, equal):
+    """Rows without an order, ties, and a group of very many equal rows, in ranges and parts of any size."""
+    from dayscribe.operators import corpus
+
+    monkeypatch.setattr(corpus, "EQUAL", equal)
+    rows = [(None, 2, "x")] * 5 + [(k % 13, 1 + k % 3, f"t{k}") for k in range(60)] + [(4, 3, "same")] * 300 + [(99, 1, "last")]
+    df = spark.createDataFrame(rows, "o int, w int, t string").repartition(4)
+    for weight, of in ((None, lambda r: 1), (F.col("w"), lambda r: r.w)):
+        got = corpus.cumulated(df, "o", weight, bucket).collect()
+        assert sorted(map(str, [(r.o, r.w, r.t) for r in got])) == sorted(map(str, rows))
+        at = 0
+        for r in sorted(got, key=lambda r: r._before):
+            assert r._before == at
+            at += of(r)
+        order = [-1 if r.o is None else r.o for r in sorted(got, key=lambda r: r._before)]
+        assert order == sorted(order)
