@@ -18,6 +18,8 @@ from .common import components, spread_join, staged
 #: Numbers that a tile holds (8 MB); cells with more are dealt into several tiles by hash.
 TILE = 1 << 20
 LEAD = 16
+#: Dimensions that are turned; those of longer vectors beyond stay as they are, so a basis has so many numbers squared at most.
+TURNED = 1024
 SLACK = 1e-9
 
 
@@ -44,13 +46,21 @@ def _components(moments):
     return np.linalg.eigh((moments + moments.T) / 2)[1][:, ::-1].copy()
 
 
+def _turned(x, basis):
+    """Rows of x in another orthonormal basis: of their first dimensions, as many as basis has."""
+    import numpy as np
+
+    k = len(basis)
+    return x @ basis if k == x.shape[1] else np.hstack([x[:, :k] @ basis, x[:, k:]])
+
+
 def _moments(batches):
     import pyarrow as pa
 
     total = None
     for batch in batches:
         if batch.num_rows:
-            x = _unit(_matrix(batch.column(0)))
+            x = _unit(_matrix(batch.column(0)))[:, :TURNED]
             total = x.T @ x + (0 if total is None else total)
     if total is not None:
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([row.tobytes() for row in total], pa.binary())], ["i", "row"])
@@ -67,9 +77,11 @@ def _summed(table):
 
 
 def principal(vectors: DataFrame, size: int):
-    """The principal components of unit vectors of the given size, from all vectors. The driver gets size squared numbers."""
+    """The principal components of the first TURNED dimensions of unit vectors of the given size, from all vectors. The driver gets
+    as many numbers squared, 8 MB at most."""
     import numpy as np
 
+    size = min(size, TURNED)
     sums = vectors.select("embedding").mapInArrow(_moments, "i int, row binary")
     # Sums of partitions meet by row of the matrix, a few dozen at a time.
     some = sums.withColumn("slot", F.spark_partition_id() % 64).groupBy("i", "slot").applyInArrow(_summed, "i int, row binary")
@@ -81,6 +93,7 @@ def principal(vectors: DataFrame, size: int):
 
 def _tiles(basis, reach: float, grid: int):
     """Adds the cell of a vector: its first components in steps as long as the threshold lets two of them differ."""
+    lead = basis[:, :grid]
 
     def run(batches):
         import numpy as np
@@ -90,7 +103,7 @@ def _tiles(basis, reach: float, grid: int):
             if not batch.num_rows:
                 continue
             x = _unit(_matrix(batch.column("embedding")))
-            cells = np.floor((x @ basis[:, :grid]) / reach).astype(np.int32)
+            cells = np.floor((x[:, : len(lead)] @ lead) / reach).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.tolist(), pa.list_(pa.int32()))], [*batch.schema.names, "cell"])
 
     return run
@@ -107,7 +120,7 @@ def _compare(basis, threshold: float, lead: int):
         side = table.column("side").to_numpy()
         ids, weight = table.column("rep").to_numpy(), table.column("weight").to_numpy()
         x = _unit(_matrix(table.column("embedding")))
-        turned = x @ (_components(x.T @ x) if basis is None else basis)
+        turned = _turned(x, _components(x[:, :TURNED].T @ x[:, :TURNED]) if basis is None else basis)
         k = min(lead, x.shape[1])
         rest = np.sqrt(np.maximum(0.0, (turned[:, k:] ** 2).sum(1)))
         a = np.flatnonzero(side < 2)
