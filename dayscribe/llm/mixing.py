@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.corpus import cumulated
 from .common import clean_text, fresh, staged
 
 #: Hash order is cut into buckets of about this many rows, a power of two of them; cumulated sizes are exact within and across them.
 BUCKET = 1 << 10
 #: The plan, a row a source and bucket, is broadcast up to this many rows (about 20 MB), and joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
+#: Sources that are ranked in one task.
+RANKED = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -31,21 +34,25 @@ def _key(source: Column) -> list[Column]:
 def targets(sizes: DataFrame, weights=(5, 2, 1), repeats: float = 3.0) -> DataFrame:
     """sizes: (none, source, source_size), a row a source. Adds rank, weight and target.
 
-    Targets are min(repeats * size, level * weight) with the level at which they sum to all sizes: what
-    resharing the excess by weight ends at. Windows over all sources run on a row a source.
+    Targets are min(repeats * size, level * weight). The excess of sources that a level would take beyond repeats times their
+    size is reshared by weight among the others, which gives a higher level, until none is above: each round is
+    three sums over all sources. Ranks are counted in one task up to RANKED sources, and by ranges of them beyond.
     """
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy("none", "source")) - 1)
+    sizes = staged(sizes, "sources")
+    if sizes.count() <= RANKED:
+        ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy("none", "source")) - 1)
+    else:
+        ranked = cumulated(sizes.withColumn("at", F.struct("none", "source")), "at").withColumnRenamed("_before", "rank").drop("at")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    ranked = ranked.withColumn("weight", weight).withColumn("most", F.col("source_size") * float(repeats))
-    by = Window.orderBy(F.col("most") / F.col("weight"), "rank")
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranked.withColumn("full", F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-    ranked = ranked.withColumn("heavy", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    ranked = ranked.withColumn("level", (F.sum("source_size").over(everything) - F.col("full")) / F.col("heavy"))
-    # The level rises up to the first source that it doesn't fill, and falls after it; that one holds for all.
-    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))).over(everything)
-    target = F.least(F.col("most"), F.coalesce(level, F.lit(0.0)) * F.col("weight"))
+    ranked = staged(ranked.withColumn("weight", weight).withColumn("most", F.col("source_size") * float(repeats)), "ranks")
+    level, before = 0.0, -1
+    while True:
+        full = F.col("most") < F.lit(level) * F.col("weight") if before >= 0 else F.lit(False)
+        taken = ranked.agg(F.sum("source_size"), F.sum(F.when(full, F.col("source_size"))), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)).first()
+        if taken[3] == before or not taken[2]:
+            break
+        level, before = ((taken[0] or 0) - float(repeats) * (taken[1] or 0)) / taken[2], taken[3]
+    target = F.least(F.col("most"), F.lit(level) * F.col("weight"))
     return ranked.select("none", "source", "source_size", "rank", "weight", target.alias("target"))
 
 
