@@ -21,10 +21,12 @@ BLOCK_DOCS, BLOCK_IDS = 256, 1 << 20
 
 
 def _ordered(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """(doc_id, text) dealt out and sorted by id, null first, repeated ids by a hash of the text."""
+    """(doc_id, text) dealt out and sorted by id, null first, repeated ids by a hash of the text, and equal rows as they are read, so
+    that very many of them aren't one task's."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(text).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    return rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("nth", F.monotonically_increasing_id())
+    order = ("doc_id", "tie", "nth")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
 
 def serialized(ids: bytes) -> bytes:
