@@ -606,7 +606,9 @@ def wrappers(pages: DataFrame, html: str = "html", url: str = "url", fan_in: int
     at = lambda x: F.element_at("to", x["node"] + 1)
     blocks = F.transform(F.arrays_zip("node", "hash", "mass"), lambda x: F.struct(at(x).alias("node"), x["hash"].alias("hash"), x["mass"].alias("mass")))
     each = lined.select("host", "shape", "node", "hash", "mass").join(placed, ["host", "shape"]).select("host", F.inline(F.array_distinct(blocks)))
-    each = each.groupBy("host", "node", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("mass").alias("mass")).join(on, ["host", "node"])
+    each = staged(each.groupBy("host", "node", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("mass").alias("mass")), "blocks")
+    at = ["host", "node"]
+    each = spread_join(each, each.groupBy(*at).agg(F.count(F.lit(1)).alias("c")).join(on, at), at, "c", each.count())
     fixed = F.col("n") >= F.greatest(F.lit(float(LEAST_PAGES)), F.lit(SHARE) * F.col("on"))
     stats = each.groupBy("host", "node").agg(
         F.sum("mass").alias("mass"), F.coalesce(F.sum(F.when(fixed, F.col("mass"))), F.lit(0)).alias("fixed"), F.array_sort(F.collect_list(F.when(fixed, F.col("hash")))).alias("constants")
