@@ -134,16 +134,15 @@ def enrich(rows: DataFrame, folder: str, fetch: Callable[[DataFrame], DataFrame]
 def bundles(rows: DataFrame, key: str, n: int, least: int, most: int, seed: int = 42) -> DataFrame:
     """(bundle, key): n samples of least to most rows each (all rows, if there are fewer), without replacement.
 
-    Rows are ranked once by a hash of seed and key. A bundle cuts the ranks into as many ranges as it has members and
-    takes a hashed rank of each, so only the rows that are drawn are ever joined to a bundle."""
-    from .corpus import cumulated
+    The pool is as many rows as n samples hold at most, those with the smallest hashes of seed and key, or all: only they are put
+    in order. A bundle cuts the pool into as many ranges as it has members and takes a hashed place of each."""
+    from .corpus import lowest_drawn
 
-    mark = F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary"))
-    ranked = cumulated(rows.select(key, mark.alias("_h")), "_h")
     count = rows.count()
+    pool, held = lowest_drawn(rows.select(key), n * most, F.lit(seed), F.col(key)), min(count, n * most)
     size = F.least(T.drawn(F.lit(seed), F.col("bundle"), F.lit("size")) % (most - least + 1) + least, F.lit(count))
     numbered = rows.sparkSession.range(n).select(F.col("id").alias("bundle")).withColumn("_size", size).filter("_size > 0")
     each = numbered.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1)))
-    low, high = F.floor(F.col("_j") * count / F.col("_size")), F.floor((F.col("_j") + 1) * count / F.col("_size"))
-    drawn = each.select("bundle", (low + T.drawn(F.lit(seed), F.col("bundle"), F.col("_j")) % (high - low)).alias("_before"))
-    return ranked.join(drawn, "_before").select("bundle", key)
+    low, high = F.floor(F.col("_j") * held / F.col("_size")), F.floor((F.col("_j") + 1) * held / F.col("_size"))
+    drawn = each.select("bundle", (low + T.drawn(F.lit(seed), F.col("bundle"), F.col("_j")) % (high - low)).alias("_place"))
+    return pool.join(drawn, "_place").select("bundle", key)

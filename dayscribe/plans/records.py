@@ -113,7 +113,7 @@ def q_merge(spark, d):
 
 
 def q_bundles(spark, d):
-    """40 samples of two to five parts."""
+    """40 samples of two to five parts, out of 200 drawn by hash."""
     return A.bundles(table(spark, d, "part").select("p_partkey"), "p_partkey", 40, 2, 5)
 
 
@@ -262,7 +262,7 @@ ORACLE_SQL = {
     "q_bundles": f"""
         with p as (select p_partkey, row_number() over (order by md5('42:' || p_partkey)) - 1 as place, count(*) over () as n from part),
              b as (select x as bundle, least({_DRAWN("'42'", "x", "'size'")} % 4 + 2, (select count(*) from part)) as size from (select unnest(range(0, 40)) as x)),
-             e as (select bundle, size, unnest(range(0, size)) as j, (select count(*) from part) as n from b),
+             e as (select bundle, size, unnest(range(0, size)) as j, (select least(count(*), 200) from part) as n from b),
              w as (select bundle, j * n // size as low, (j + 1) * n // size as high, j from e),
              t as (select bundle, low + {_DRAWN("'42'", "bundle", "j")} % (high - low) as place from w)
         select bundle, p_partkey from t join p using (place)""",

@@ -146,6 +146,7 @@ def q_target(spark, d):
 QUERIES = (q_score, q_sections, q_mutated, q_mutations, q_soup, q_odd, q_properties, q_step_means, q_grounding, q_prompt, q_target)
 
 # The same in SQL. Values are written out; nothing is taken from the engine but the words that are added to digests.
+# Fixed values.
 STOP = """a an and are as at be been but by can did do does for from had has have how i in into is it its just like more new not of on or our out over should so some
 such than that the their them then there these they this to up use used using was we were what when which while who will with would you your also added fix fixed
 fixes update updated updates change changes changed name version private public main module modules scripts type types author engines description dependencies
@@ -154,6 +155,7 @@ CODE = """js jsx ts tsx py go rs c h cpp hpp java kt kts svelte vue json yaml ym
 SOUP = "refactor polish cleanup tweak adjust shuffle nudge wander browse scroll ponder humdrum routine ordinary steady gentle quiet modest".split()
 FAKE, GHOST = "The new src/app/Widget.svelte component landed cleanly.", "Unverified claims about src/app/Ghost.svelte appeared from nowhere."
 UNGROUNDED = "The mango giraffe session kept everything moving overall, with steady window throughout and a general sense of forward motion across the wider landscape."
+# End of the fixed values.
 
 
 def _list(words) -> str:
@@ -341,6 +343,7 @@ def _blocks(of: str) -> str:
     mu as ({rows})"""
 
 
+# Fixed value.
 FILL = "banana mango kayak umbrella giraffe volcano ticket window quartz nomadic lantern".split()
 
 

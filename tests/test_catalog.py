@@ -36,6 +36,26 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("name", ["q_score", "q_mutations", "q_odd", "q_properties", "q_relational", "q_lifted"])
+def test_scores_equal_sql_on_more_rows(spark, name):
+    """Cases that the smallest tables don't have."""
+    import duckdb
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.01"
+    con.execute(f"create view conversations as select * from read_parquet('{sf}/conversations.parquet')")
+    rel = con.sql(catalog.ORACLE_SQL[name])
+    want = [dict(zip(rel.columns, map(plain, r))) for r in rel.fetchall()]
+    got = [{k: plain(v) for k, v in r.asDict().items()} for r in catalog.QUERIES[name](spark, sf).collect()]
+    key = lambda r: sorted(r.items())
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_mutations_parse_a_digest_once(spark):
+    """The plan doesn't copy the parse into each mutation."""
+    plan = scored.q_mutated(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") < 30
+
+
 def test_every_query_has_its_sql():
     assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
 
