@@ -84,3 +84,42 @@ def test_a_hot_fingerprint(spark):
     # The join that hands each row its component: its largest partition holds few of the rows that were shuffled.
     sizes = rows.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
     assert max(r["count"] for r in sizes) < 150_000
+
+
+def plain_host(pages):
+    """Main texts of a host's pages, each a list of containers side by side, each of them a list of blocks, by the rules as stated:
+    a block on nine of ten pages is constant; the content is the container with at least half of the weight, constant text
+    counting a quarter; beside it small containers and constant blocks go, and within it the latter unless they are much of it."""
+    n = len(pages)
+    on = [{b: sum(b in page[k] for page in pages) for page in pages for b in page[k]} for k in range(len(pages[0]))]
+    fixed = [{b for b, m in own.items() if m >= max(5, 0.9 * n)} for own in on]
+    constant = [sum(len(b) * on[k][b] for b in fixed[k]) for k in range(len(on))]
+    varying = [sum(len(b) * m for b, m in on[k].items() if b not in fixed[k]) for k in range(len(on))]
+    mass = [v + 0.25 * c for v, c in zip(varying, constant)]
+    best = max(range(len(mass)), key=lambda k: (mass[k], -k))
+    core = [best] if 2 * mass[best] >= sum(mass) else list(range(len(mass)))
+    kept = [k for k in range(len(mass)) if k in core or mass[k] >= 0.1 * mass[best]]
+    kept = core if len(core) > 1 else kept
+    copies = sum(constant[k] for k in core) > 0.25 * sum(varying[k] + constant[k] for k in core)
+    return ["\n\n".join(b for k in kept for b in page[k] if not (b in fixed[k] and not (k in core and copies))) for page in pages]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_a_host_by_the_rules_as_stated(spark, seed):
+    """Random hosts without names: what is constant, which container is the content, which others stay."""
+    import random
+
+    r = random.Random(seed)
+    slots, n = r.randrange(2, 6), r.choice((6, 11, 30))
+    shape = [(r.choice((2, 10, 60)), r.choice((0.0, 0.5, 0.95, 1.0)), r.randrange(1, 4)) for _ in range(slots)]
+    shared = [[prose(5000 + 100 * seed + 10 * k + j, size) for j in range(m)] for k, (size, _, m) in enumerate(shape)]
+    pages = []
+    for p in range(n):
+        page = []
+        for k, (size, odds, m) in enumerate(shape):
+            blocks = [shared[k][j] if r.random() < odds else f"{prose(r.randrange(10**9), size)} {p} {k} {j}" for j in range(m)]
+            page.append(list(dict.fromkeys(blocks)))
+        pages.append(page)
+    rows = [(p, "http://h.example/", "<body>" + "".join("<div>" + "".join(f"<p>{b}</p>" for b in own) + "</div>" for own in page) + "</body>") for p, page in enumerate(pages)]
+    got = {x.page_id: x.text for x in html_text.main_text(spark.createDataFrame(rows, PAGES), names=False).collect()}
+    assert got == dict(enumerate(plain_host(pages)))
