@@ -120,10 +120,12 @@ def word_keys(w: Column, seed: int = 0) -> Column:
 
 
 def run_keys(w: Column, n: int) -> Column:
-    """A 64-bit hash of each run of n words, in order; none if there are fewer. w, words or their keys, must be a materialised
-    column (see barrier). No run is ever put together as a text."""
+    """A 64-bit hash of each run of n words, in order; none if there are fewer. w, words or, better for long runs, their keys, must
+    be a materialised column (see barrier). No run is ever put together as a text."""
     at = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
-    return F.when(F.size(w) >= n, F.transform(at, lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>"))
+    # Few words are looked up one by one; more are cut out together.
+    run = lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(n)]) if n <= 4 else F.xxhash64(F.slice(w, i, F.lit(n)))
+    return F.when(F.size(w) >= n, F.transform(at, run)).otherwise(F.array().cast("array<bigint>"))
 
 
 def trigrams(w: Column) -> tuple[Column, Column]:

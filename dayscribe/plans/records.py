@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..operators import activity as A
 from ..operators import corpus, guard, preflight, report
 from ..sources import files as src
-from ..stage import shared_dir
+from ..stage import dealt, shared_dir
 from .scored import rounded
 
 EXTENSIONS = ("py", "txt", "svelte", "LOCK", "Rs")
@@ -150,7 +150,7 @@ def q_jsonl(spark, d):
 
 
 def _ratios(spark, d) -> DataFrame:
-    docs = T.barrier(table(spark, d, "documents").select("doc_id", T.words("text").alias("w")))
+    docs = T.barrier(dealt(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.words("text").alias("w")))
     return T.barrier(table(spark, d, "labels").join(docs, "doc_id").select("doc_id", "quality", T.repetition_ratio(F.col("w")).alias("total")))
 
 
@@ -202,7 +202,7 @@ def q_guard(spark, d):
 
 def q_plan(spark, d):
     """M4: documents that fit a budget, by a word count that stands in for tokens; the plan beside each."""
-    words = T.barrier(table(spark, d, "documents").select("doc_id", F.size(T.words("text")).alias("n")))
+    words = T.barrier(dealt(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size(T.words("text")).alias("n")))
     p = preflight.plan(words, "n", 8, 9, 1264, 3 * 2**29, most_dropped=1.0)
     told = {"max_prompt": p.max_prompt, "max_seq": p.max_seq, "spike": p.spike, "dropped": p.dropped, "total": p.total}
     return p.rows.select("doc_id", "n", "keep", *[F.lit(v).cast("long").alias(k) for k, v in told.items()])

@@ -25,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return own.get().rstrip("/")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df dealt out to as many tasks as shuffles have, if it is read in no more splits: so little data, often in one split of them, is
+    moved for work that is all computing. A table of more splits is worked on where it is read."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if df.rdd.getNumPartitions() > tasks else df.repartition(tasks)
+
+
 def staged(df: DataFrame, name: str = "stage", **options: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
