@@ -134,7 +134,7 @@ ORACLE_SQL = {
         from documents window same as (partition by coalesce(text, ''))""",
     "op3_embedding_near_dedup": """
         with recursive t as (select *, row_number() over (order by vec_id) as row from embeddings),
-        v as (select row, label, embedding::double[] as e from t
+        v as (select row, label, list_transform(embedding, lambda x: coalesce(x, 0)::double) as e from t
               where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
         l as (select a.row as a, b.row as b from v a join v b on a.label = b.label and a.row <> b.row
               where case when len(a.e) = len(b.e) then list_cosine_similarity(a.e, b.e) >= 0.98 else false end),

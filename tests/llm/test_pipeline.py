@@ -45,7 +45,7 @@ def test_query_equals_sql(spark, name, tmp_path):
     fixture.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
     for folder in [SF, str(tmp_path)] if name.startswith("op3") else [SF]:
         con = duckdb.connect()
-        for t in ("documents", "embeddings") if folder == SF else ("embeddings",):
+        for t in ("documents", "embeddings", "benchmark") if folder == SF else ("embeddings",):
             con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet{'' if folder == SF else '/*.parquet'}')")
         rel = con.sql(queries.ORACLE_SQL[name])
         want = [tuple(sorted(zip(rel.columns, map(str, r)))) for r in rel.fetchall()]
