@@ -36,7 +36,7 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("name", ["q_score", "q_mutations", "q_odd", "q_properties", "q_relational", "q_lifted"])
+@pytest.mark.parametrize("name", ["q_score", "q_mutations", "q_odd", "q_properties", "q_relational"])
 def test_scores_equal_sql_on_more_rows(spark, name):
     """Cases that the smallest tables don't have."""
     import duckdb
