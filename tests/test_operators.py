@@ -84,6 +84,18 @@ def test_merge_backfill_bundles(spark):
     assert len(drawn) > 95 and max(r["count"] for r in drawn) < 40  # spread over all rows
 
 
+def test_bundles_draw_from_all_rows(spark):
+    """Each place of a bundle has a range of all ranks of its own, however few rows are drawn."""
+    import hashlib
+
+    rank = {k: i for i, k in enumerate(sorted(range(1000), key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest()))}
+    got = activity.bundles(spark.range(1000).withColumnRenamed("id", "row"), "row", 6, 2, 5).collect()
+    for b in range(6):
+        drawn = sorted(rank[r.row] for r in got if r.bundle == b)
+        n = len(drawn)
+        assert 2 <= n <= 5 and all(j * 1000 // n <= x < (j + 1) * 1000 // n for j, x in enumerate(drawn))
+
+
 def test_split_ranks_every_row(spark):
     df = spark.createDataFrame([(f"{k:04d}",) for k in range(100)], "name string").repartition(7)
     got = corpus.split_every(df, "name").filter("split = 'eval'").collect()
