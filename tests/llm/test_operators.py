@@ -75,6 +75,27 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_component_steps_have_small_plans(spark, monkeypatch):
+    """The driver plans, keeps and prints each step: none holds the step before it, and stars alone take no further step."""
+    sizes = []
+
+    def recorded(df, name, *args, **kw):
+        sizes.append((name, df._jdf.queryExecution().executedPlan().toString().count("Exchange ")))
+        return staged(df, name, *args, **kw)
+
+    staged = common.staged
+    monkeypatch.setattr(common, "staged", recorded)
+    path = [(k, k + 1) for k in range(20)]
+    got = {x.node: x.component for x in common.components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(21), 0)
+    assert len(sizes) > 4 and max(n for _, n in sizes) <= 6, sizes
+    sizes.clear()
+    stars = [(10 * k, 10 * k + j) for k in range(4) for j in range(1, 9)]
+    got = {x.node: x.component for x in common.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {x: x // 10 * 10 for e in stars for x in e}
+    assert len(sizes) == 2, sizes
+
+
 @pytest.mark.parametrize("counters", [2, 1024])
 def test_exact_dedup(docs, counters):
     rows = exact_dedup.resolve(docs.select("doc_id", exact_dedup.digest("text").alias("digest")), counters).collect()
